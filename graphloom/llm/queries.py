@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import syntax
+from graphloom.llm import functions, layout, syntax
 from graphloom.plans.registry import Registry
 from graphloom.sources import table
 
@@ -20,3 +20,27 @@ def p1_found(spark: SparkSession, root: str) -> DataFrame:
 def p1_rates(spark: SparkSession, root: str) -> DataFrame:
     files = table(spark, root, "files")
     return syntax.rates(files, syntax.parse_files(files))
+
+
+@QUERIES.add("p3_found")
+def p3_found(spark: SparkSession, root: str) -> DataFrame:
+    return functions.documented(table(spark, root, "files"))
+
+
+@QUERIES.add("p3_pairs")
+def p3_pairs(spark: SparkSession, root: str) -> DataFrame:
+    return functions.pairs(table(spark, root, "files"))
+
+
+def not_handwritten(spark: SparkSession, root: str) -> DataFrame:
+    return layout.not_handwritten(table(spark, root, "files"), table(spark, root, "upstream_files"), table(spark, root, "regions"))
+
+
+@QUERIES.add("p6_found")
+def p6_found(spark: SparkSession, root: str) -> DataFrame:
+    return not_handwritten(spark, root).select("file_id")
+
+
+@QUERIES.add("p6_kinds")
+def p6_kinds(spark: SparkSession, root: str) -> DataFrame:
+    return not_handwritten(spark, root)
