@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import functions, layout, syntax
+from graphloom.llm import functions, langid, layout, syntax
 from graphloom.plans.registry import Registry
 from graphloom.sources import table
 
@@ -44,3 +44,18 @@ def p6_found(spark: SparkSession, root: str) -> DataFrame:
 @QUERIES.add("p6_kinds")
 def p6_kinds(spark: SparkSession, root: str) -> DataFrame:
     return not_handwritten(spark, root)
+
+
+@QUERIES.add("p9_found")
+def p9_found(spark: SparkSession, root: str) -> DataFrame:
+    return langid.wrong_labels(langid.document_languages(langid.segments(table(spark, root, "documents"))))
+
+
+@QUERIES.add("p9_languages")
+def p9_languages(spark: SparkSession, root: str) -> DataFrame:
+    return langid.document_languages(langid.segments(table(spark, root, "documents")))
+
+
+@QUERIES.add("p9_segments")
+def p9_segments(spark: SparkSession, root: str) -> DataFrame:
+    return langid.segments(table(spark, root, "documents"))
