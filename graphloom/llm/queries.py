@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from graphloom.llm import functions, langid, layout, syntax
+from graphloom.llm import functions, langid, layout, packing, syntax, tokens, topn
 from graphloom.plans.registry import Registry
+from graphloom.session import materialise
 from graphloom.sources import table
 
 QUERIES = Registry()
@@ -59,3 +63,65 @@ def p9_languages(spark: SparkSession, root: str) -> DataFrame:
 @QUERIES.add("p9_segments")
 def p9_segments(spark: SparkSession, root: str) -> DataFrame:
     return langid.segments(table(spark, root, "documents"))
+
+
+#: Items that p2 keeps of every group.
+BEST = 5
+
+
+@QUERIES.add(
+    "p2_found",
+    """WITH a AS (SELECT seeds_id, qname, max(score + 0.0) AS score FROM activated
+      WHERE qname IS NOT NULL AND score IS NOT NULL AND NOT isnan(score) GROUP BY seeds_id, qname),
+    r AS (SELECT *, row_number() OVER (PARTITION BY seeds_id ORDER BY score DESC, qname) AS n FROM a)
+    SELECT seeds_id, qname FROM r WHERE n <= 5""",
+)
+def p2_found(spark: SparkSession, root: str) -> DataFrame:
+    return topn.top_n(table(spark, root, "activated"), "seeds_id", "qname", "score", BEST).select("seeds_id", "qname")
+
+
+@QUERIES.add(
+    "p2_ranked",
+    """WITH a AS (SELECT seeds_id, qname, max(score + 0.0) AS score FROM activated
+      WHERE qname IS NOT NULL AND score IS NOT NULL AND NOT isnan(score) GROUP BY seeds_id, qname),
+    r AS (SELECT *, row_number() OVER (PARTITION BY seeds_id ORDER BY score DESC, qname) AS n FROM a)
+    SELECT seeds_id, qname, score, CAST(n AS INTEGER) AS rank FROM r WHERE n <= 5""",
+)
+def p2_ranked(spark: SparkSession, root: str) -> DataFrame:
+    return topn.top_n(table(spark, root, "activated"), "seeds_id", "qname", "score", BEST)
+
+
+@QUERIES.add("p7_ids")
+def p7_ids(spark: SparkSession, root: str) -> DataFrame:
+    return tokens.encode(table(spark, root, "documents"))
+
+
+def containers(spark: SparkSession, root: str) -> list[tuple[str, int]]:
+    return [(r.container, r.capacity_tokens) for r in table(spark, root, "containers").collect()]
+
+
+def bins(spark: SparkSession, root: str) -> DataFrame:
+    sizes = materialise(tokens.sizes(table(spark, root, "documents")), "doc-sizes")
+    known = containers(spark, root)
+    packed = [
+        packing.pack_documents(sizes, [x for x in known if x[1] <= most]).select(F.lit(name).alias("packing"), "*")
+        for name, most in known
+    ]
+    return reduce(DataFrame.unionByName, packed)
+
+
+@QUERIES.add("p8_bins")
+def p8_bins(spark: SparkSession, root: str) -> DataFrame:
+    """For each size the whole documents, packed into containers of that size and, where they fit better, smaller ones."""
+    return bins(spark, root)
+
+
+@QUERIES.add("p8_unused")
+def p8_unused(spark: SparkSession, root: str) -> DataFrame:
+    """Containers and unused room of each packing by size."""
+    each = bins(spark, root).groupBy("packing", "bin", "container", "capacity").agg(F.max("used").alias("used"))
+    return each.groupBy("packing", "container", "capacity").agg(
+        F.count("*").alias("containers"),
+        F.sum("used").alias("used"),
+        F.round(1 - F.sum("used") / F.sum("capacity"), 6).alias("unused"),
+    )
