@@ -7,6 +7,8 @@ looked up by the token's text. Offsets are only worked out for files that turn o
 from __future__ import annotations
 
 import re
+from itertools import accumulate
+from operator import add, sub
 
 from graphloom.llm.peg import Grammar, Kinds
 
@@ -56,6 +58,7 @@ class Language:
     files: tuple[str, ...] = ()
     cut: tuple[str, ...] = (";",)
     pattern: re.Pattern
+    gapped: re.Pattern | None = None
     ident = re.compile(r"[^\W\d]\w*+\Z")
 
     def __init__(self) -> None:
@@ -71,6 +74,8 @@ class Language:
         classes = {"NAME", "NUM", "STR", "TPL", "REGEX", "CHAR", "LIFETIME", "NL", "NLS", "¬"}
         self.fixed = {t: c for t, c in k.of.items() if t not in classes} | {"": ""}
         self.texts: dict[str, str] = dict(self.fixed)
+        # where the head that skips blanks and comments ends, and the group of the token begins
+        self.skip_end = self.pattern.pattern.index(")*+(") + 3
 
     # -- kinds
 
@@ -78,16 +83,30 @@ class Language:
         raise NotImplementedError
 
     def kinds_of(self, src: str) -> str:
-        texts, found = self.texts, self.pattern.findall(src)
+        return "".join(self.kind_list(self.pattern.findall(src)))
+
+    def kind_list(self, found: list[str] | tuple[str, ...]) -> list[str]:
+        texts = self.texts
         try:
-            return "".join([texts[t] for t in found])
+            return [texts[t] for t in found]
         except KeyError:
             if len(texts) > TEXT_CACHE:
                 texts = self.texts = dict(self.fixed)
             for t in found:
                 if t not in texts:
                     texts[t] = self.kind(t)
-            return "".join([texts[t] for t in found])
+            return [texts[t] for t in found]
+
+    def lexed(self, src: str) -> tuple[tuple[str, ...], tuple[str, ...], list[int], list[str]]:
+        """What is skipped before each token, the tokens, where they stand, and their kinds; one pass."""
+        if self.gapped is None:
+            # the skipped part is the pattern's head, up to the group of the token
+            head = self.pattern.pattern
+            self.gapped = re.compile("(" + head[: self.skip_end] + ")" + head[self.skip_end :])
+        gaps, found = zip(*self.gapped.findall(src), strict=True)
+        sizes = list(map(len, found))
+        ends = accumulate(map(add, map(len, gaps), sizes))
+        return gaps, found, list(map(sub, ends, sizes)), self.kind_list(found)
 
     def lines(self, k: str) -> str:
         """``k`` with its newlines dropped or made tokens."""
@@ -137,7 +156,10 @@ class Language:
 
     def valid(self, src: str) -> bool:
         """Whether the grammar consumes the whole text."""
-        k = self.lines(self.kinds_of(src))
+        return self.valid_kinds(self.kinds_of(src))
+
+    def valid_kinds(self, k: str) -> bool:
+        k = self.lines(k)
         if ERROR in k:
             return False
         k, bad = self.fold(k)

@@ -51,6 +51,15 @@ def is_valid(ext: str, source: str) -> bool | None:
     return ok or ext == "py" and python_accepts(source)
 
 
+def valid_lexed(ext: str, source: str, kinds: list[str]) -> bool:
+    """``is_valid`` for a source whose tokens' kinds are known."""
+    try:
+        ok = language(ext).valid_kinds("".join(kinds))
+    except RecursionError:
+        ok = ext != "py"
+    return ok or ext == "py" and python_accepts(source)
+
+
 def why(ext: str, source: str) -> tuple[int, str]:
     """The furthest position that an invalid source was read to, and the cause."""
     try:
