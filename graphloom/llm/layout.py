@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from graphloom.llm.arrow import map_rows, spread
 from graphloom.llm.lexers import language
 from graphloom.llm.syntax import extension, is_valid
+from graphloom.session import materialise
 
 RESULT = "file_id bigint, ext string, expansion double, uniformity double, literals double, kind string, upstream string, valid boolean"
 #: Canonical lines to one original line from which a file is minified, and the code characters it needs at least.
@@ -293,13 +294,13 @@ def provenances(files: DataFrame, regions: DataFrame) -> DataFrame:
 
 def not_handwritten(files: DataFrame, upstream: DataFrame, regions: DataFrame) -> DataFrame:
     """Valid files that aren't hand-written, with the reason: a kind of ``judged`` or the provenance of their region."""
-    below = provenances(files, regions)
+    below = materialise(provenances(files, regions), "provenances")
     made = judged(files, upstream).where("kind is not null and valid").select("file_id", "kind").dropDuplicates(["file_id"])
+    made = materialise(made, "made")  # read twice below; the pass over the sources is made once
     placed = below.where("provenance <> 'authored'")
     rest = placed.join(made, "file_id", "left_anti")
-    checked = map_rows(
-        spread(files.join(rest, "file_id").select("file_id", "path", "source", "provenance")), _validity, "file_id bigint, kind string"
-    ).dropDuplicates(["file_id"])
+    inside = files.join(rest, "file_id").select("file_id", "path", "source", "provenance")
+    checked = map_rows(inside, _validity, "file_id bigint, kind string").dropDuplicates(["file_id"])
     return made.join(below.where("provenance = 'authored'"), "file_id", "left_anti").unionByName(checked)
 
 
