@@ -1,8 +1,8 @@
 """Named queries over the engine's tables."""
 
-from graphloom.plans import problems
+from graphloom.plans import graph, problems
 from graphloom.plans.registry import Query, Registry
 
-ALL = Registry(problems.QUERIES)
+ALL = Registry(problems.QUERIES | graph.QUERIES)
 
 __all__ = ["ALL", "Query", "Registry"]
