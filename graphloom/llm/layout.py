@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.arrow import map_rows, spread
-from graphloom.llm.lexers import language
+from graphloom.llm.lexers import INDENTS, language
 from graphloom.llm.syntax import extension, is_valid
 from graphloom.session import materialise
 
@@ -48,7 +48,7 @@ _NOT_A_MARK = re.compile(r"is written by|not by this file|by hand|n't generated|
 _BY_HAND = re.compile(r"(?:modify|edit|change) (?:this file )?by hand", re.IGNORECASE)
 HEAD_LINES, FOOT_LINES = 15, 5
 
-_LITERAL = re.compile(r"(?:[bBrRuUfF]|[bB][rR]|[rR][bB])?[\"'`]")
+_BREAKS = ("\n", "\r")
 _COMMENT_LINE = re.compile(r"\s*(?:#(?!\[)|//|/\*|\*|<!--|--)")
 
 
@@ -77,67 +77,31 @@ class Layout:
 
     def __init__(self, ext: str, src: str) -> None:
         lang = language(ext)
-        texts = lang.texts
-        body = "\n" + src if ext == "py" else src
-        name, num, string = lang.NAME, lang.NUM, lang.STR
-        shapes: list[str] = []
-        cur: list[str] = []
-        canonical, depth, chars = 0, 0, 0
-        lit, words, opaque = 0, 0, 0
-        self.tokens: list[str] = []
-        tokens = self.tokens
-        line_end = -1
-        split = getattr(lang, "with_regex", None)
-        for m in lang.pattern.finditer(body):
-            t = m[1]
-            if not t or t[0] in "\r\n" or t.startswith("/*"):
-                continue
-            a = m.start(1)
-            if a > line_end:
-                if cur:
-                    shapes.append("".join(cur))
-                    cur = []
-                line_end = body.find("\n", a)
-                if line_end < 0:
-                    line_end = len(body)
-                if ext == "py" and depth == 0:
-                    canonical += 1
-            tokens.append(t)
-            n = len(t)
-            chars += n
-            k = texts.get(t)
-            if k is None:
-                k = texts[t] = lang.kind(t)
-            cur.append(k)
-            if n == 1:
-                if t in "([":
-                    depth += 1
-                elif t in ")]":
-                    depth -= 1
-                elif t in "{}" or t == ";" and depth <= 0:
-                    canonical += 1
-            if k == name or n > 1 and t.isalpha():
-                words += 1
-            elif k == num or _LITERAL.match(t) and n > 1:
-                lit += 1
-                if k == num or not any(x in t for x in (" ", "\n")):
-                    opaque += n
-            elif split and n > 2 and (r := split.match(t)):
-                words += 1
-                if r[1] in "{([":
-                    depth += r[1] in "(["
-                    canonical += r[1] == "{"
-        if cur:
-            shapes.append("".join(cur))
-        self.lines, self.chars = len(shapes), chars
+        gaps, texts, _, kinds = lang.lexed("\n" + src if ext == "py" else src)
+        if ext == "py":
+            rows = INDENTS.sub("\n", "".join(kinds))
+        else:
+            rows = "".join(["\n" + k if "\n" in g else k for g, k in zip(gaps, kinds, strict=True)])
+        shapes = [x for x in rows.split("\n") if x]
+        breaks = {t for t in texts if t[:1] in _BREAKS or t[:2] == "/*"}
+        self.tokens = [t for t in texts if t and t not in breaks]
+        count = rows.count
+        semicolons = count(lang.kinds[";"])
+        canonical = len(shapes) + semicolons if ext == "py" else semicolons + count("{") + count("}")
+        literal = {lang.kinds[x] for x in ("NUM", "STR", "TPL", "CHAR")}
+        lit = sum(map(count, literal))
+        words = count(lang.NAME) + sum(count(c) for t, c in lang.fixed.items() if t.isalpha())
+        numbers = lang.NUM
+        opaque = sum([len(t) for t, k in zip(texts, kinds, strict=True) if k in literal and (k == numbers or not (" " in t or "\n" in t))])
+        self.lines, self.chars = len(shapes), sum(map(len, self.tokens))
         self.expansion = canonical / max(1, len(shapes))
-        counts = Counter(s for s in shapes if len(s) > 1)
+        counts = Counter([x for x in shapes if len(x) > 1])
         total = sum(counts.values())
         # shapes that come again and again, against all lines that are more than a bracket
         again = sum(c for _, c in counts.most_common(4) if c >= 3)
         self.uniformity = again / total if total >= UNIFORMITY_LINES else 0.0
         self.literals = lit / max(1, lit + words)
-        self.opaque = opaque / max(1, chars)
+        self.opaque = opaque / max(1, self.chars)
 
     @property
     def kind(self) -> str | None:
@@ -177,15 +141,13 @@ class Upstream:
                 self.by_shingle.setdefault(h, []).append(len(self.names))
             self.names.append(name)
             self.sizes.append(len(found))
+        self.known = set(self.by_shingle)
 
     def like(self, tokens: list[str]) -> str | None:
         """The source that ``tokens`` are most like, if the similarity is high enough."""
-        own = shingles(tokens)
-        get = self.by_shingle.get
-        shared: Counter[int] = Counter()
-        for h in own:
-            if at := get(h):
-                shared.update(at)
+        own, shared = shingles(tokens), Counter()
+        for h in own & self.known:
+            shared.update(self.by_shingle[h])
         best = max(((n / (len(own) + self.sizes[k] - n), -k) for k, n in shared.items()), default=(0.0, 0))
         return self.names[-best[1]] if best[0] >= SIMILARITY else None
 
