@@ -67,7 +67,8 @@ def is_schema_type(qname: Column, kind: Column) -> Column:
 
 def glob_match(pattern: Column, text: Column) -> Column:
     """Whether a text matches a pattern in which ``*`` stands for anything."""
-    return text.rlike(F.concat(F.lit("^"), F.replace(F.regexp_replace(pattern, r"([.\\+?^$()\[\]{}|])", r"\\$1"), F.lit("*"), F.lit(".*")), F.lit("$")))
+    escaped = F.regexp_replace(pattern, r"([.\\+?^$()\[\]{}|])", r"\\$1")
+    return F.rlike(text, F.concat(F.lit("^"), F.replace(escaped, F.lit("*"), F.lit(".*")), F.lit("$")))
 
 
 def backtick_identifiers(text: Column) -> Column:
