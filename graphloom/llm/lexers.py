@@ -17,7 +17,7 @@ NL0 = 0xE000
 NLS_RUN = re.compile("\n+")
 INDENTS = re.compile("[\ue000-\uf8ff]")
 SPLIT_INDENTS = re.compile("([\ue000-\uf8ff])")
-BRACKET = re.compile(r"[()\[\]{}]")
+BRACKET = re.compile(r"([()\[\]{}])")
 CLOSES = {"(": ")", "[": "]", "{": "}"}
 TEXT_CACHE = 300_000
 
@@ -123,30 +123,28 @@ class Language:
     def fold(self, k: str) -> tuple[str, int]:
         """Groups folded to single characters, and -1 or the index of the bracket that doesn't fit."""
         group, content, plain = self.grammar.group, self.content, type(self).content is Language.content
-        stack: list[tuple[str, list[str], int]] = []
-        cur: list[str] = []
-        pos = 0
-        for m in BRACKET.finditer(k):
-            i = m.start()
-            c = k[i]
-            if i > pos:
-                cur.append(k[pos:i])
-            pos = i + 1
+        memos, stack, cur = self.grammar.contents, [], []
+        parts = BRACKET.split(k)
+        cur.append(parts[0])
+        for j in range(1, len(parts), 2):
+            c = parts[j]
             if c in CLOSES:
-                stack.append((c, cur, i))
-                cur = []
+                stack.append((c, cur))
+                cur = [parts[j + 1]]
             else:
                 if not stack:
-                    return "", i
-                opened, outer, _ = stack.pop()
+                    return "", sum(map(len, parts[:j]))
+                opened, outer = stack.pop()
                 if CLOSES[opened] != c:
-                    return "", i
+                    return "", sum(map(len, parts[:j]))
                 inner = "".join(cur)
-                outer.append(group(opened, inner if plain else content(opened, inner)))
+                if not plain:
+                    inner = content(opened, inner)
                 cur = outer
+                cur.append(memos[opened].get(inner) or group(opened, inner))
+                cur.append(parts[j + 1])
         if stack:
             return "", len(k)
-        cur.append(k[pos:])
         return "".join(cur), -1
 
     def matches(self, rule: str, src: str) -> bool:
