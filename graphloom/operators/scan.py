@@ -55,12 +55,13 @@ def manifest_name(manifests: DataFrame) -> DataFrame:
     s = F.col("source")
     toml = r'(?m)^\s*name\s*=\s*"([^"]+)"'
     name = basename(F.col("path"))
+    ranked = lambda k, v: F.struct(F.lit(k).alias("p"), v.alias("name"))
     found = (
-        F.when(name == "Cargo.toml", F.struct(F.lit(1).alias("p"), F.regexp_extract(s, toml, 1).alias("name")))
-        .when(name == "package.json", F.struct(F.lit(2), F.get_json_object(s, "$.name")))
-        .when(name == "pyproject.toml", F.struct(F.lit(3), F.regexp_extract(s, toml, 1)))
-        .when(name == "composer.json", F.struct(F.lit(4), F.get_json_object(s, "$.name")))
-        .when(name == "go.mod", F.struct(F.lit(5), F.regexp_extract(s, r"(?m)^module\s+(?:\S*/)?(\S+)", 1)))
+        F.when(name == "Cargo.toml", ranked(1, F.regexp_extract(s, toml, 1)))
+        .when(name == "package.json", ranked(2, F.get_json_object(s, "$.name")))
+        .when(name == "pyproject.toml", ranked(3, F.regexp_extract(s, toml, 1)))
+        .when(name == "composer.json", ranked(4, F.get_json_object(s, "$.name")))
+        .when(name == "go.mod", ranked(5, F.regexp_extract(s, r"(?m)^module\s+(?:\S*/)?(\S+)", 1)))
     )
     rows = manifests.select("repo", found.alias("f")).where("f.name <> ''")
     return rows.groupBy("repo").agg(F.min_by("f.name", "f.p").alias("name"))
