@@ -48,7 +48,6 @@ _NOT_A_MARK = re.compile(r"is written by|not by this file|by hand|n't generated|
 _BY_HAND = re.compile(r"(?:modify|edit|change) (?:this file )?by hand", re.IGNORECASE)
 HEAD_LINES, FOOT_LINES = 15, 5
 
-_BREAKS = ("\n", "\r")
 _COMMENT_LINE = re.compile(r"\s*(?:#(?!\[)|//|/\*|\*|<!--|--)")
 
 
@@ -83,14 +82,16 @@ class Layout:
         else:
             rows = "".join(["\n" + k if "\n" in g else k for g, k in zip(gaps, kinds, strict=True)])
         shapes = [x for x in rows.split("\n") if x]
-        breaks = {t for t in texts if t[:1] in _BREAKS or t[:2] == "/*"}
-        self.tokens = [t for t in texts if t and t not in breaks]
+        breaks = {k for k in set(kinds) if not k or k == "\n" or "\ue000" <= k[0] < "\uf900"}
+        self.tokens = [t for t, k in zip(texts, kinds, strict=True) if k not in breaks]
         count = rows.count
         semicolons = count(lang.kinds[";"])
         canonical = len(shapes) + semicolons if ext == "py" else semicolons + count("{") + count("}")
         literal = {lang.kinds[x] for x in ("NUM", "STR", "TPL", "CHAR")}
         lit = sum(map(count, literal))
-        words = count(lang.NAME) + sum(count(c) for t, c in lang.fixed.items() if t.isalpha())
+        words = count(lang.NAME)
+        if lit > words:
+            words += sum(count(c) for t, c in lang.fixed.items() if t.isalpha())
         numbers = lang.NUM
         opaque = sum([len(t) for t, k in zip(texts, kinds, strict=True) if k in literal and (k == numbers or not (" " in t or "\n" in t))])
         self.lines, self.chars = len(shapes), sum(map(len, self.tokens))
@@ -146,16 +147,31 @@ class Upstream:
     def like(self, tokens: list[str]) -> str | None:
         """The source that ``tokens`` are most like, if the similarity is high enough."""
         own, shared = shingles(tokens), Counter()
-        for h in own & self.known:
+        known = own & self.known
+        if len(known) < SIMILARITY * len(own):
+            return None  # no one source can share more than all of them together
+        for h in known:
             shared.update(self.by_shingle[h])
         best = max(((n / (len(own) + self.sizes[k] - n), -k) for k, n in shared.items()), default=(0.0, 0))
         return self.names[-best[1]] if best[0] >= SIMILARITY else None
 
 
+_KNOWN: dict[int, Upstream] = {}
+
+
+def _upstream(shared) -> Upstream:
+    """The index of a broadcast, built once in each worker."""
+    key = hash(tuple(shared.value))
+    if key not in _KNOWN:
+        _KNOWN.clear()
+        _KNOWN[key] = Upstream(shared.value)
+    return _KNOWN[key]
+
+
 def _judge(upstream):
     def make():
         sys.setrecursionlimit(20_000)
-        known = Upstream(upstream.value) if upstream is not None else None
+        known = _upstream(upstream) if upstream is not None else None
 
         def rows(file_id, path, source):
             ext = extension(path)
