@@ -238,9 +238,12 @@ def judged(files: DataFrame, upstream: DataFrame) -> DataFrame:
         known = [(f"{r.lib}/{r.path}", r.path, r.source) for r in upstream.select("lib", "path", "source").collect()]
         return map_rows(rows, _judge(spark.sparkContext.broadcast(known)), RESULT)
     plain = map_rows(rows, _judge(None), RESULT).drop("upstream")
-    found = copies(files, upstream)
+    found = materialise(copies(files, upstream), "copies")
+    alike = files.join(found, "file_id").select("file_id", "path", "source", F.lit("copy").alias("provenance"))
+    sound = map_rows(alike, _validity, "file_id bigint, kind string").select("file_id", F.lit(True).alias("sound")).distinct()
     kind = F.coalesce("kind", F.when(F.col("upstream").isNotNull(), "vendored"))
-    return plain.join(found, "file_id", "left").withColumn("kind", kind)
+    both = plain.join(found, "file_id", "left").join(sound, "file_id", "left")
+    return both.withColumn("kind", kind).withColumn("valid", F.coalesce("valid", "sound")).drop("sound")
 
 
 def plain_path(c: Column) -> Column:

@@ -14,7 +14,7 @@ from graphloom.llm.peg import Grammar, Kinds
 
 ERROR = "\x01"
 NL0 = 0xE000
-NLS_RUN = re.compile("\n+")
+_NAMED = re.compile(r"\\N\{[^{}]*\}")
 INDENTS = re.compile("[\ue000-\uf8ff]")
 SPLIT_INDENTS = re.compile("([\ue000-\uf8ff])")
 BRACKET = re.compile(r"([()\[\]{}])")
@@ -245,15 +245,19 @@ class Python(Language):
     @staticmethod
     def _fstring() -> str:
         strings = rf"{Python._TQ}|{_DQ}|{_SQ}"
-        one = rf"\{{(?:[^{{}}\"'#]|{strings})*+\}}"
-        two = rf"\{{(?:[^{{}}\"'#]|{strings}|{one})*+\}}"
-        three = rf"\{{(?:[^{{}}\"'#]|{strings}|{two})*+\}}"
-        esc = r"\\[\s\S]|\{\{|\}\}"
-        return (
-            r"(?:[fF][rR]?|[rR][fF])(?:"
-            rf'"""(?:{esc}|[^"\\{{}}]|"(?!"")|{three})*+"""' + rf"|'''(?:{esc}|[^'\\{{}}]|'(?!'')|{three})*+'''"
-            rf'|"(?:{esc}|[^"\\{{}}\n]|{three})*+"' + rf"|'(?:{esc}|[^'\\{{}}\n]|{three})*+')"
-        )
+        one = rf"\{{(?:[^{{}}\"']|{strings})*+\}}"
+        two = rf"\{{(?:[^{{}}\"']|{strings}|{one})*+\}}"
+        three = rf"\{{(?:[^{{}}\"']|{strings}|{two})*+\}}"
+
+        def quoted(esc: str) -> str:
+            esc += r"|\{\{|\}\}"
+            return (
+                rf'(?:"""(?:{esc}|[^"\\{{}}]|"(?!"")|{three})*+"""' + rf"|'''(?:{esc}|[^'\\{{}}]|'(?!'')|{three})*+'''"
+                rf'|"(?:{esc}|[^"\\{{}}\n]|{three})*+"' + rf"|'(?:{esc}|[^'\\{{}}\n]|{three})*+')"
+            )
+
+        # in a raw string a backslash doesn't keep a brace from being a field
+        return rf"(?:[fF][rR]|[rR][fF]){quoted(r'\\(?:[^{}]|(?=[{}]))')}|[fF]{quoted(r'\\N\{[^{}]*\}|\\(?:[^{}]|(?=[{}]))')}"
 
     def __init__(self) -> None:
         nl = r"(?:\r?\n|\r)(?:[ \t\f]*+(?:\#[^\r\n]*+)?(?:\r?\n|\r))*+[ \t\f]*+"
@@ -285,8 +289,9 @@ class Python(Language):
 
     def _fields(self, t: str) -> bool:
         """Whether the expressions of an f-string are valid."""
-        q = re.match(r"\w+(\"\"\"|'''|\"|')", t)
-        return self._format(t[q.end() : -len(q[1])])
+        q = re.match(r"(\w+)(\"\"\"|'''|\"|')", t)
+        body = t[q.end() : -len(q[2])]
+        return self._format(body if "r" in q[1].lower() else _NAMED.sub("x", body))
 
     def _format(self, body: str) -> bool:
         i = 0
@@ -436,7 +441,7 @@ class JavaScript(Braces):
         before = _ops("=== !== == != => && || ?? = ( , : ; ! & | ? { [ + - * % < > ~ ^ += -= *= &&= ||= ??=")
         words = r"(?:return|typeof|case|in|of|delete|void|throw|do|else|await|yield|instanceof)(?![\w$])"
         regex = r"/(?![/*])(?:[^/\\\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*+\])++/[a-z]*+"
-        skip = rf"{_BLANK}|{_LINE_COMMENT}|{_INLINE_COMMENT}"
+        skip = rf"{_BLANK}|{_LINE_COMMENT}|{_INLINE_COMMENT}|\A\#![^\n]*+"
         ops = _ops(
             "... === !== **= <<= >>>= &&= ||= ??= => == != <= >= && || ?? ?. ++ -- += -= *= /= %= &= |= ^= << **"
         ).replace(r"\?\.", r"\?\.(?!\d)") + r"|[{}()\[\];,<>+\-*/%&|^!~?:=.@\#]"
@@ -448,7 +453,7 @@ class JavaScript(Braces):
         super().__init__()
         k = self.kinds
         self.TPL, self.REGEX, self.NLS = k["TPL"], k["REGEX"], k["NLS"]
-        no_end = "if else for while do case in of typeof void delete new throw instanceof extends try finally default import export var const function class enum".split()
+        no_end = "if else for while do case in of typeof delete new throw instanceof extends try finally default import export var const function class enum".split()
         enders = [c for t, c in k.of.items() if re.fullmatch(r"[a-z]\w*", t) and t not in no_end]
         enders += [k[x] for x in ("NAME", "NUM", "STR", "TPL", "REGEX", "++", "--")] + [")", "]", "}"]
         no_start = "in instanceof else catch finally extends implements as satisfies of".split()
