@@ -441,7 +441,7 @@ class JavaScript(Braces):
         before = _ops("=== !== == != => && || ?? = ( , : ; ! & | ? { [ + - * % < > ~ ^ += -= *= &&= ||= ??=")
         words = r"(?:return|typeof|case|in|of|delete|void|throw|do|else|await|yield|instanceof)(?![\w$])"
         regex = r"/(?![/*])(?:[^/\\\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*+\])++/[a-z]*+"
-        skip = rf"{_BLANK}|{_LINE_COMMENT}|{_INLINE_COMMENT}|\A\#![^\n]*+"
+        skip = rf"{_BLANK}|{_LINE_COMMENT}|{_INLINE_COMMENT}"
         ops = _ops(
             "... === !== **= <<= >>>= &&= ||= ??= => == != <= >= && || ?? ?. ++ -- += -= *= /= %= &= |= ^= << **"
         ).replace(r"\?\.", r"\?\.(?!\d)") + r"|[{}()\[\];,<>+\-*/%&|^!~?:=.@\#]"
@@ -470,6 +470,20 @@ class JavaScript(Braces):
             return self.texts.get(m[1], ERROR) + self.REGEX
         return super().kind(t)
 
+    @staticmethod
+    def _plain(src: str) -> str:
+        """A source whose first line for the shell, if any, is a comment of the same length."""
+        return "//" + src[2:] if src.startswith("#!") else src
+
+    def kinds_of(self, src: str) -> str:
+        return super().kinds_of(self._plain(src))
+
+    def lexed(self, src: str):
+        return super().lexed(self._plain(src))
+
+    def offsets(self, src: str) -> tuple[str, list[int]]:
+        return super().offsets(self._plain(src))
+
     def _template(self, t: str) -> bool:
         """Whether the expressions of a template literal are valid."""
         i = 1

@@ -15,7 +15,7 @@ VALID = {
         "x = lambda a, /, b=1, *c: a if b else c\n", "if x:\n\ty\nelse:\n\tz\n", "class A[T](B, metaclass=M): x: int = 1; y = 2\n", "a[1:2, ::3] += b\n", "x = (yield)\n", "'a' \"b\"\\\n'c'\n", "@d.e(1)\ndef f(): ...\n", "\ufeffx = 1\n", "not x\r\nif y:\r\n  z\r\n",
     ],
     "js": [
-        "", "// c", "const f = async ({a, b: [c = 1]}, ...d) => ({a})\nfoo()\n", "for (const k in o) if (k) continue; else break\n", "class A extends B { static #x = 1; get y() { return this.#x } async *z() {} }\n",
+        "", "// c", "#!/usr/bin/env node\nfoo()\n", "const f = async ({a, b: [c = 1]}, ...d) => ({a})\nfoo()\n", "for (const k in o) if (k) continue; else break\n", "class A extends B { static #x = 1; get y() { return this.#x } async *z() {} }\n",
         "a = b ? c : d => e\n", "x = `a${`b${c}`}d`\n", "y = /[/]\\/x/g.test(a) / 2\n", "import a, {b as c} from 'd'\nexport * as e from 'f'\n", "if (a) return\nelse b()\n", "label: while (1) { break label }\n", "do x++; while (x < 5)\n", "new A().b?.[c]?.(d)\n",
         "switch (a) { case 1: b(); break; default: c() }\n", "let {a, ...b} = c, d\n", "async function* f() { for await (const x of y) yield* x }\n", "a ??= b ** c\n", "export default class {}\n", "!function(){}()\n", "var x = {get a() { return 1 }, async b() {}, [c]: 2, 'd': 3, e}\n",
     ],
