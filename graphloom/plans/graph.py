@@ -320,6 +320,23 @@ def http_stack(spark: SparkSession, root: str) -> DataFrame:
     return resolve.http_stack(routes.withColumn("path", F.concat(F.lit("/api"), "path")), routes)
 
 
+@QUERIES.add("http_stack_paths")
+def http_stack_paths(spark: SparkSession, root: str) -> DataFrame:
+    """HTTP endpoints with the routes of other repositories that have their method and whole path."""
+    n = g.nodes(spark, root).select("id", F.col("repo_id").alias("repo"), "kind", "qname", "confidence")
+    part = lambda i: F.regexp_extract("qname", r"^endpoint:([^:]*):([\s\S]*)$", i)
+    ends = n.where("kind = 9 and qname like 'endpoint:%:%'").select("id", "repo", part(1).alias("method"), part(2).alias("path"), "confidence")
+    routes = n.where("kind = 5")
+    said = F.coalesce(F.get_json_object("text", "$.method"), F.when(~F.ltrim("text").startswith("{"), F.trim("text")))
+    verbs = g.cells(spark, root).where("cell_type = 5").select(F.col("node_id").alias("id"), said.alias("method")).where("method is not null")
+    stacked = routes.where("qname like 'route:%'").join(verbs, "id").select("id", "repo", "method", F.regexp_replace("qname", "^route:", "").alias("path"), "confidence")
+    # some front ends name a route by its method and path
+    spelled = routes.where(r"qname rlike '^[^ ]+ /'").select(
+        "id", "repo", F.substring_index("qname", " ", 1).alias("method"), F.regexp_replace("qname", "^[^ ]+ ", "").alias("path"), "confidence"
+    )
+    return resolve.http_stack(ends.where("path <> '<unresolved>'"), stacked.unionByName(spelled).distinct())
+
+
 @QUERIES.add(
     "contains_match",
     f"""{ctes('s n')}, o AS (SELECT DISTINCT lower(name) AS ka FROM n WHERE kind = 5 AND name IS NOT NULL), t AS (SELECT DISTINCT lower(name) AS kb FROM s WHERE name IS NOT NULL)
@@ -332,6 +349,13 @@ def contains_match(spark: SparkSession, root: str) -> DataFrame:
     return resolve.contains_match(ops, names)
 
 
+@QUERIES.add("contains_match_names")
+def contains_match_names(spark: SparkSession, root: str) -> DataFrame:
+    """Routes and shared nodes of which one's whole name contains the other's."""
+    names = lambda n: n.where("name is not null").select(F.lower("name").alias("id"), F.lower("name").alias("key")).distinct()
+    return resolve.contains_match(names(g.nodes(spark, root).where("kind = 5")), names(g.shared_nodes(spark, root)))
+
+
 @QUERIES.add(
     "resolve_calls",
     f"""{ctes('n')}, u AS (SELECT DISTINCT call_id, {g._sql_id('from_id')} AS from_id, shape, base, name FROM unresolved_calls),
@@ -381,6 +405,12 @@ def frame_nodes(spark: SparkSession, root: str) -> DataFrame:
     return resolve.frame_nodes(f.withColumn("frame", F.concat_ws(":", "path", "line")), g.nodes(spark, root))
 
 
+@QUERIES.add("frame_nodes_documents")
+def frame_nodes_documents(spark: SparkSession, root: str) -> DataFrame:
+    """The innermost nodes at the stack frames of the documents."""
+    return resolve.frame_nodes(frames(spark, root).distinct(), g.nodes(spark, root))
+
+
 @QUERIES.add(
     "doc_links",
     f"""{ctes('n')}, b AS (SELECT doc_id, generate_subscripts(string_split(text, '`'), 1) AS k, unnest(string_split(text, '`')) AS name FROM documents),

@@ -7,6 +7,7 @@ from graphloom.functions import text as tx
 from graphloom.functions import vectors as vec
 from graphloom.functions.ids import canonical_id
 from graphloom.operators import analysis, extract, lookup, resolve, scan, store, traverse
+from graphloom.plans import graph
 
 
 def one(spark, value, make, kind="string"):
@@ -180,3 +181,31 @@ def test_overlap_and_rates(spark):
     assert sorted(got) == [("f", 1, 8), ("f", 1, 9), ("f", 2, 8)]
     r = spark.createDataFrame([("x", True), ("x", False), ("y", False)], "k string, p boolean")
     assert {(x.k, x.tries_90) for x in analysis.pass_rates(r, "k", F.col("p")).collect()} == {("x", 3.3219), ("y", math.inf)}
+
+
+def put(spark, root, **tables):
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).selectExpr("*", *(["timestamp'2025-01-01' added_at", "cast(null as timestamp) removed_at"] if name == "nodes" else [])).write.parquet(f"{root}/{name}.parquet")
+    return str(root)
+
+
+LIFE = NODE + ", confidence string"
+
+
+def test_resolvers_take_whole_paths_and_names_and_real_frames(spark, tmp_path):
+    ids = dict(zip("abcdefg", (f"{i:016x}" for i in range(1, 8)), strict=True))
+    node = lambda k, repo, kind, name, qname, file=None, a=None, z=None: (ids[k], repo, kind, name, qname, None, file, a, z, "Strong")
+    nodes = [
+        node("a", 1, 9, None, "endpoint:get:/api/cache/${id}"), node("b", 2, 5, "/cache/:id", "route:/cache/:id"), node("c", 2, 5, "/cursor/policy", "route:/cursor/policy"),
+        node("d", 3, 5, "/cache/{x}", "GET /cache/{x}"), node("e", 1, 9, None, "endpoint:GET:<unresolved>"), node("f", 1, 3, "f", "m::f", "src/m.py", 4, 9), node("g", 1, 1, "m", "m", "src/m.py", 0, 20),
+    ]
+    cells = [(ids["b"], 0, 5, 1, '{"method":"GET"}'), (ids["b"], 1, 5, 1, "POST"), (ids["c"], 0, 5, 1, '{"method":"GET"}')]
+    root = put(
+        spark, tmp_path, nodes=(nodes, LIFE), cells=(cells, "node_id string, ord int, cell_type int, payload_type int, text string"),
+        shared_nodes=([("8", 40, "policy", "package:npm:policy"), ("9", 40, "cache", "package:npm:cache"), ("a", 40, "z", "package:npm:z")], "id string, kind int, name string, qname string"),
+        documents=([(1, 'File "/srv/src/m.py", line 6, in f'), (1, 'File "/srv/src/m.py", line 6, in f'), (2, "at (x/m.py:2)"), (3, "none")], "doc_id bigint, text string"),
+    )
+    got = lambda name: {tuple(r) for r in graph.QUERIES[name].run(spark, root).collect()}
+    assert got("http_stack_paths") == {(ids["a"], ids["b"], 1, "Strong"), (ids["a"], ids["d"], 1, "Strong")}
+    assert got("contains_match_names") == {("/cursor/policy", "policy"), ("/cache/:id", "cache"), ("/cache/{x}", "cache")}
+    assert got("frame_nodes_documents") == {("1:0", ids["f"], 2), ("2:0", ids["g"], 1)}
