@@ -56,16 +56,28 @@ def impact(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     )
 
 
-def parent_chain(nodes: DataFrame, most: int = 6) -> DataFrame:
-    """Each node's ancestors by containment, from its parent up, as far as they are nodes."""
-    up = nodes.select(F.col("id").alias("p"), F.col("parent_id").alias("pp"))
-    level = nodes.where("parent_id is not null").select("id", F.col("parent_id").alias("ancestor"), F.lit(1).alias("depth"))
-    levels = []
-    for k in range(1, most + 1):
-        level = level.join(up, F.col("ancestor") == F.col("p")).select("id", "ancestor", "depth", "pp")
-        levels.append(level.drop("pp"))
-        level = level.where("pp is not null and pp <> id").select("id", F.col("pp").alias("ancestor"), F.lit(k + 1).alias("depth"))
-    return reduce(DataFrame.unionByName, levels)
+def parent_chain(nodes: DataFrame) -> DataFrame:
+    """Each node's ancestors by containment, from its parent up to the top, as far as they are nodes.
+
+    Every step climbs as far as all steps before it together, so a chain of n ancestors takes about log2(n) of them. A cycle
+    of containment has no top; its nodes come once each, and the node itself isn't its own ancestor.
+    """
+    up = nodes.where("parent_id is not null and parent_id <> id").select("id", F.col("parent_id").alias("ancestor"))
+    known = up.join(nodes.select(F.col("id").alias("ancestor")), "ancestor", "left_semi").select("id", "ancestor", F.lit(1).alias("depth"))
+    known = materialise(known.distinct(), "ancestors")
+    reach, size = 1, known.count()
+    while True:
+        # ancestors at exactly ``reach`` steps, and what is known above them
+        last = known.where(F.col("depth") == reach).select("id", F.col("ancestor").alias("via"))
+        above = known.select(F.col("id").alias("via"), F.col("ancestor"), (F.col("depth") + reach).alias("depth"))
+        more = last.join(above, "via").where("ancestor <> id").select("id", "ancestor", "depth")
+        # a node that comes again lies on a cycle; the nearest place counts
+        found = known.unionByName(more).groupBy("id", "ancestor").agg(F.min("depth").alias("depth"))
+        found = materialise(found, "ancestors")
+        n = found.count()
+        if n == size:
+            return found
+        known, reach, size = found, 2 * reach, n
 
 
 def activate(

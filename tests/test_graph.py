@@ -209,3 +209,11 @@ def test_resolvers_take_whole_paths_and_names_and_real_frames(spark, tmp_path):
     assert got("http_stack_paths") == {(ids["a"], ids["b"], 1, "Strong"), (ids["a"], ids["d"], 1, "Strong")}
     assert got("contains_match_names") == {("/cursor/policy", "policy"), ("/cache/:id", "cache"), ("/cache/{x}", "cache")}
     assert got("frame_nodes_documents") == {("1:0", ids["f"], 2), ("2:0", ids["g"], 1)}
+
+
+def test_chains_go_to_the_top_and_cycles_end(spark):
+    n = [(str(i), str(i + 1)) for i in range(11)] + [("11", "gone"), ("a", "b"), ("b", "c"), ("c", "a"), ("x", "a"), ("s", "s")]
+    got = {tuple(r) for r in traverse.parent_chain(spark.createDataFrame(n, "id string, parent_id string")).collect()}
+    want = {(str(i), str(j), j - i) for i in range(12) for j in range(i + 1, 12)}
+    want |= {("a", "b", 1), ("a", "c", 2), ("b", "c", 1), ("b", "a", 2), ("c", "a", 1), ("c", "b", 2), ("x", "a", 1), ("x", "b", 2), ("x", "c", 3)}
+    assert got == want
