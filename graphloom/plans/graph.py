@@ -547,6 +547,10 @@ def _activation(name: str, profile: str, direction: str, specificity: str) -> No
         )
         return found.select("id", F.round("score", 6).alias("score"))
 
+    @QUERIES.add(f"{name}_converged")
+    def converged(spark: SparkSession, root: str) -> DataFrame:
+        return traverse.activate(g.nodes(spark, root), g.edges(spark, root), seeds(spark, root), profile, direction=direction, specificity=specificity)
+
 
 _activation("activate", "default", "forward", "none")
 _activation("activate_backward", "default", "backward", "none")

@@ -217,3 +217,19 @@ def test_chains_go_to_the_top_and_cycles_end(spark):
     want = {(str(i), str(j), j - i) for i in range(12) for j in range(i + 1, 12)}
     want |= {("a", "b", 1), ("a", "c", 2), ("b", "c", 1), ("b", "a", 2), ("c", "a", 1), ("c", "b", 2), ("x", "a", 1), ("x", "b", 2), ("x", "c", 3)}
     assert got == want
+
+
+@pytest.mark.parametrize(("name", "far"), [("activate", 9), ("activate_backward", 1), ("activate_repair", 9), ("activate_onboard", 9)])
+def test_activation_goes_on_until_it_converges(spark, tmp_path, name, far):
+    ids = [f"{i:016x}" for i in range(1, 10)]
+    root = put(
+        spark, tmp_path, nodes=([(x, 1, 3 if k else 5, "f", "m::f", None, "m.py", 0, 1, "Strong") for k, x in enumerate(ids)], LIFE),
+        edges=([(k, 1, a, b, 4, "Strong", True) for k, (a, b) in enumerate(zip(ids, ids[1:], strict=False))], "edge_id bigint, repo_id bigint, src string, dst string, category int, confidence string, intra boolean"),
+    )
+    whole = {r.id: r.score for r in graph.QUERIES[f"{name}_converged"].run(spark, root).collect()}
+    fixed = {r.id for r in graph.QUERIES[name].run(spark, root).collect()}
+    assert len(whole) == far and len(fixed) == min(far, 5)
+    if name == "activate":
+        # the last node has no way out: its mass goes back to the seed, which keeps x of all
+        x = 0.5 / (1 - 0.5**9)
+        assert all(math.isclose(whole[i], x * 0.5**k, abs_tol=1e-5) for k, i in enumerate(ids))
