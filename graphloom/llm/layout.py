@@ -46,29 +46,33 @@ _TOOL_MARK = re.compile(
 )
 _NOT_A_MARK = re.compile(r"is written by|not by this file|by hand|n't generated|not generated|hand-?written|emit(?:s|ter)|the header ['\"`]", re.IGNORECASE)
 _BY_HAND = re.compile(r"(?:modify|edit|change) (?:this file )?by hand", re.IGNORECASE)
-HEAD_LINES, FOOT_LINES = 15, 5
-
-_COMMENT_LINE = re.compile(r"\s*(?:#(?!\[)|//|/\*|\*|<!--|--)")
-
-
-def tool_mark(src: str) -> bool:
-    """Whether a comment at the head or the foot of the file says that a tool made it."""
-    lines = src.split("\n", HEAD_LINES + 1)
-    head = lines[:HEAD_LINES]
-    comments = []
-    for line in head:
-        if line.strip() and not _COMMENT_LINE.match(line):
-            break
-        comments.append(line)
-    foot = src[-2000:].rstrip().split("\n")[-FOOT_LINES:]
-    for line in reversed(foot):
-        if not _COMMENT_LINE.match(line):
-            break
-        comments.append(line)
-    for c in comments:
-        if _TOOL_MARK.search(c) and not _NOT_A_MARK.search(_BY_HAND.sub("", c)):
-            return True
-    return False
+_HASH_LINE = re.compile(r"^[ \t]*#(?![\[!])", re.MULTILINE)
+
+
+def margins(ext: str, text: str, texts: list[str], offsets: list[int], code: list[int]) -> tuple[str, str]:
+    """What stands before the first and after the last of the tokens ``code``: comments, however long they are.
+
+    Inner attributes of a Rust file belong to its head.
+    """
+    k = 0
+    while ext == "rs" and k + 2 < len(code) and [texts[i] for i in code[k : k + 3]] == ["#", "!", "["]:
+        depth, k = 1, k + 3
+        while depth and k < len(code):
+            depth += (texts[code[k]] == "[") - (texts[code[k]] == "]")
+            k += 1
+    if k >= len(code):
+        return text, ""
+    return text[: offsets[code[k]]], text[offsets[code[-1]] + len(texts[code[-1]]) :]
+
+
+def marked(*comments: str) -> bool:
+    """Whether a line of ``comments`` says that a tool made the file."""
+    return any(_TOOL_MARK.search(c) and not _NOT_A_MARK.search(_BY_HAND.sub("", c)) for x in comments for c in x.split("\n"))
+
+
+def tool_mark(src: str, ext: str | None = None) -> bool:
+    """Whether a comment at the head or the foot of the file says that a tool made it; without ``ext``, ``#`` means Python."""
+    return marked(*Layout(ext or ("py" if _HASH_LINE.search(src) else "js"), src).margins)
 
 
 class Layout:
@@ -76,14 +80,17 @@ class Layout:
 
     def __init__(self, ext: str, src: str) -> None:
         lang = language(ext)
-        gaps, texts, _, kinds = lang.lexed("\n" + src if ext == "py" else src)
+        text = "\n" + src if ext == "py" else src
+        gaps, texts, offsets, kinds = lang.lexed(text)
         if ext == "py":
             rows = INDENTS.sub("\n", "".join(kinds))
         else:
             rows = "".join(["\n" + k if "\n" in g else k for g, k in zip(gaps, kinds, strict=True)])
         shapes = [x for x in rows.split("\n") if x]
         breaks = {k for k in set(kinds) if not k or k == "\n" or "\ue000" <= k[0] < "\uf900"}
-        self.tokens = [t for t, k in zip(texts, kinds, strict=True) if k not in breaks]
+        code = [i for i, k in enumerate(kinds) if k not in breaks]
+        self.tokens = [texts[i] for i in code]
+        self.margins = margins(ext, text, texts, offsets, code)
         count = rows.count
         semicolons = count(lang.kinds[";"])
         canonical = len(shapes) + semicolons if ext == "py" else semicolons + count("{") + count("}")
@@ -178,7 +185,7 @@ def _judge(upstream):
             if not source or language(ext) is None:
                 return [(file_id, ext, None, None, None, None, None, None)]
             a = Layout(ext, source)
-            kind = "generated" if tool_mark(source) else a.kind
+            kind = "generated" if marked(*a.margins) else a.kind
             copy = known.like(a.tokens) if known else None
             if copy and not kind:
                 kind = "vendored"

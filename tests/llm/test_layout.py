@@ -66,3 +66,18 @@ def test_operator(spark, monkeypatch):
     assert {r.file_id: r.kind for r in not_handwritten(files, upstream, regions).collect()} == want
     assert [(r.file_id, r.upstream) for r in copies(files, upstream).collect()] == [(7, "lib/n.js")]
     assert judged(files.limit(0), upstream.limit(0)).collect() == []
+
+
+MARK = "Code generated by x. DO NOT EDIT."
+
+
+@pytest.mark.parametrize(
+    ("ext", "source", "marked"),
+    [
+        ("go", "".join(f"// Licence, line {k}.\n" for k in range(40)) + f"// {MARK}\npackage p\n", True), ("js", f"/*\nA licence\nwithout stars\n*/\n// {MARK}\nfoo();\n", True),
+        ("java", f"/*\n  A licence\n\n  {MARK}\n*/\npackage p;\n", True), ("py", "x = 1\n" + "# note\n" * 9 + f"# {MARK}\n" + "# more of the note that follows\n" * 99, True),
+        ("rs", f"#![allow(dead_code)]\n// {MARK}\nfn f() {{}}\n", True), ("js", f"foo();\n/*\n{MARK}\n*/\nbar();\n", False), ("go", f"package p\n\nvar s = `\n// {MARK}\n`\n", False), ("py", f'"""\n{MARK}\n"""\n', False),
+    ],
+)
+def test_marks_on_any_line_of_head_and_foot(ext, source, marked):
+    assert tool_mark(source, ext) is marked
