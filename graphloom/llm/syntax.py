@@ -10,6 +10,7 @@ import ast
 import re
 import sys
 import warnings
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,33 +40,38 @@ def python_accepts(source: str) -> bool:
         return False
 
 
+def _deep(check: Callable, *given):
+    """``check(*given)``, and again without the bound on recursion if a long chain of one rule reaches it.
+
+    Rules call each other in Python alone, whose frames lie on the heap, so only memory bounds the second run.
+    """
+    try:
+        return check(*given)
+    except RecursionError:
+        limit = sys.getrecursionlimit()
+        sys.setrecursionlimit(1 << 30)
+        try:
+            return check(*given)
+        finally:
+            sys.setrecursionlimit(limit)
+
+
 def is_valid(ext: str, source: str) -> bool | None:
     """Whether the grammar of ``ext`` consumes the whole source; None if there is no such grammar."""
     lang = language(ext)
     if lang is None:
         return None
-    try:
-        ok = lang.valid(source)
-    except RecursionError:
-        ok = ext != "py"
-    return ok or ext == "py" and python_accepts(source)
+    return _deep(lang.valid, source) or ext == "py" and python_accepts(source)
 
 
 def valid_lexed(ext: str, source: str, kinds: list[str]) -> bool:
     """``is_valid`` for a source whose tokens' kinds are known."""
-    try:
-        ok = language(ext).valid_kinds("".join(kinds))
-    except RecursionError:
-        ok = ext != "py"
-    return ok or ext == "py" and python_accepts(source)
+    return _deep(language(ext).valid_kinds, "".join(kinds)) or ext == "py" and python_accepts(source)
 
 
 def why(ext: str, source: str) -> tuple[int, str]:
     """The furthest position that an invalid source was read to, and the cause."""
-    try:
-        at, how = language(ext).failure(source)
-    except RecursionError:
-        at, how = 0, "syntax"
+    at, how = _deep(language(ext).failure, source)
     if _BINARY.search(source):
         return at, "binary"
     if (m := _MARKERS.search(source)) and at >= m.start() - 1:

@@ -126,3 +126,20 @@ def test_operator(spark):
 
 def test_all_languages_load():
     assert {language(e).name for e in LANGUAGES} == {"python", "javascript", "typescript", "go", "java", "rust"}
+
+
+@pytest.mark.parametrize(
+    ("ext", "head", "part", "end"),
+    [
+        ("js", "if (a) { b(); }", " else if (a) { b(); }", "\n"), ("ts", "x = ", "a ? b : ", "c;\n"), ("java", "class A { void f() { if (a) { b(); }", " else if (a) { b(); }", " } }"),
+        ("go", "package p\nfunc f() {\nif a { b() }", " else if a { b() }", "\n}\n"), ("rs", "fn f() { if a { b(); }", " else if a { b(); }", " }"),
+    ],
+)
+def test_long_chains_are_parsed_to_their_end(ext, head, part, end):
+    limit = sys.getrecursionlimit()
+    chain = head + part * 6000
+    for kinds in (None, language(ext).lexed):
+        check = (lambda s: syntax.is_valid(ext, s)) if kinds is None else (lambda s: syntax.valid_lexed(ext, s, kinds(s)[3]))
+        assert check(chain + end) is True and check(chain + " else else" + end) is False
+    assert syntax.why(ext, chain + " else else" + end)[0] > len(chain) - 9
+    assert sys.getrecursionlimit() == limit
