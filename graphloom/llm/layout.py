@@ -81,7 +81,9 @@ class Layout:
     def __init__(self, ext: str, src: str) -> None:
         lang = language(ext)
         text = "\n" + src if ext == "py" else src
-        gaps, texts, offsets, kinds = lang.lexed(text)
+        pieces, texts, ends, kinds = lang.lexed(text)
+        offsets = [b - len(t) for b, t in zip(ends, texts, strict=True)]
+        gaps = [p[: len(p) - len(t)] for p, t in zip(pieces, texts, strict=True)]
         if ext == "py":
             rows = INDENTS.sub("\n", "".join(kinds))
         else:

@@ -1,14 +1,13 @@
 """Lexers: a source text as a string of token kinds, with strings, comments, templates and line ends settled.
 
-``findall`` does the work: every match is one token, blanks and comments are skipped inside the pattern, and kinds are
-looked up by the token's text. Offsets are only worked out for files that turn out to be invalid.
+``findall`` does the work: every match is one token or comment with the blanks before it, and kinds are looked up by the
+token's text; a comment's kind is empty. What nests deeper than the patterns do is put into a flat form first.
 """
 
 from __future__ import annotations
 
 import re
 from itertools import accumulate
-from operator import add, sub
 
 from graphloom.llm.peg import Grammar, Kinds
 
@@ -20,6 +19,7 @@ SPLIT_INDENTS = re.compile("([\ue000-\uf8ff])")
 BRACKET = re.compile(r"([()\[\]{}])")
 CLOSES = {"(": ")", "[": "]", "{": "}"}
 TEXT_CACHE = 300_000
+BLANKS = " \t\r\f\v\n\ufeff\u00a0"
 
 _DQ = r'"(?:[^"\\\n]|\\[\s\S])*+"'
 _SQ = r"'(?:[^'\\\n]|\\[\s\S])*+'"
@@ -47,8 +47,25 @@ def _ops(text: str) -> str:
     return "|".join(re.escape(x) for x in sorted(text.split(), key=len, reverse=True))
 
 
-def _pattern(skip: str, *tokens: str) -> re.Pattern:
-    return re.compile(rf"(?:{skip})*+({'|'.join(tokens)}|\Z|[\s\S])")
+def _pattern(blank: str, *tokens: str) -> re.Pattern:
+    return re.compile(rf"(?:{blank})*+({'|'.join(tokens)}|\Z|[\s\S])")
+
+
+class _Texts(dict):
+    """Kinds by text; comments and long literals are worked out each time, as they hardly come again."""
+
+    def __init__(self, lang: Language) -> None:
+        super().__init__(lang.fixed)
+        self.lang = lang
+
+    def __missing__(self, t: str) -> str:
+        c = self.lang.kind(t)
+        if c and len(t) < 80:
+            if len(self) > TEXT_CACHE:
+                self.clear()
+                self.update(self.lang.fixed)
+            self[t] = c
+        return c
 
 
 class Language:
@@ -58,7 +75,8 @@ class Language:
     files: tuple[str, ...] = ()
     cut: tuple[str, ...] = (";",)
     pattern: re.Pattern
-    gapped: re.Pattern | None = None
+    #: Characters that only part tokens; a newline is one of them where it means nothing.
+    blanks = BLANKS
     ident = re.compile(r"[^\W\d]\w*+\Z")
 
     def __init__(self) -> None:
@@ -73,40 +91,59 @@ class Language:
         self.NAME, self.NUM, self.STR = k["NAME"], k["NUM"], k["STR"]
         classes = {"NAME", "NUM", "STR", "TPL", "REGEX", "CHAR", "LIFETIME", "NL", "NLS", "¬"}
         self.fixed = {t: c for t, c in k.of.items() if t not in classes} | {"": ""}
-        self.texts: dict[str, str] = dict(self.fixed)
-        # where the head that skips blanks and comments ends, and the group of the token begins
-        self.skip_end = self.pattern.pattern.index(")*+(") + 3
+        self.texts: dict[str, str] = _Texts(self)
+        # the same with the blanks before a token
+        self.spaced = re.compile(self.pattern.pattern.replace(")*+(", ")*+(?:", 1))
 
     # -- kinds
 
     def kind(self, t: str) -> str:
         raise NotImplementedError
 
+    def plain(self, src: str) -> str:
+        """The source as it is lexed, of the same length."""
+        return src
+
     def kinds_of(self, src: str) -> str:
-        return "".join(self.kind_list(self.pattern.findall(src)))
-
-    def kind_list(self, found: list[str] | tuple[str, ...]) -> list[str]:
-        texts = self.texts
-        try:
-            return [texts[t] for t in found]
-        except KeyError:
-            if len(texts) > TEXT_CACHE:
-                texts = self.texts = dict(self.fixed)
-            for t in found:
-                if t not in texts:
-                    texts[t] = self.kind(t)
-            return [texts[t] for t in found]
-
-    def lexed(self, src: str) -> tuple[tuple[str, ...], tuple[str, ...], list[int], list[str]]:
-        """What is skipped before each token, the tokens, where they stand, and their kinds; one pass."""
-        if self.gapped is None:
-            # the skipped part is the pattern's head, up to the group of the token
-            head = self.pattern.pattern
-            self.gapped = re.compile("(" + head[: self.skip_end] + ")" + head[self.skip_end :])
-        gaps, found = zip(*self.gapped.findall(src), strict=True)
-        sizes = list(map(len, found))
-        ends = accumulate(map(add, map(len, gaps), sizes))
-        return gaps, found, list(map(sub, ends, sizes)), self.kind_list(found)
+        k = "".join(map(self.texts.__getitem__, self.pattern.findall(self.plain(src))))
+        if ERROR in k and (flat := self.flat(src)) is not None:
+            k = "".join(map(self.texts.__getitem__, self.pattern.findall(self.plain(flat))))
+        return k
+
+    def lexed(self, src: str) -> tuple[list[str], list[str], list[int], list[str]]:
+        """Tokens and comments with the blanks before them and without, where each of them ends, and their kinds; one pass."""
+        pieces = self.spaced.findall(self.plain(src))
+        blanks = self.blanks
+        found = [x.lstrip(blanks) for x in pieces]
+        kinds = list(map(self.texts.__getitem__, found))
+        if ERROR in kinds and (flat := self.flat(src)) is not None:
+            return self.lexed(flat)
+        return pieces, found, list(accumulate(map(len, pieces))), kinds
+
+    def flat(self, src: str) -> str | None:
+        """``src`` with what nests deeper than the pattern put into a form of equal length that doesn't; None without any."""
+        out, pos, begun, plain = [], 0, 0, self.plain(src)
+        while True:
+            m = self.pattern.match(plain, pos)
+            t = m[1]
+            if not t:
+                return "".join([*out, src[begun:]]) if out else None
+            pos = m.end()
+            if ERROR in self.texts[t]:
+                at = m.start(1)
+                end = self.nested_end(plain, at)
+                if end < 0:
+                    return None
+                out += [src[begun:at], self.stand_in(src[at:end])]
+                pos = begun = end
+
+    def nested_end(self, src: str, at: int) -> int:
+        """Where what begins at ``at`` and nests too deep for the pattern ends, or -1 if it isn't that."""
+        return -1
+
+    def stand_in(self, text: str) -> str:
+        """A text of equal length and lines, and of the kind that ``text`` has."""
+        return text
 
     def lines(self, k: str) -> str:
         """``k`` with its newlines dropped or made tokens."""
@@ -168,7 +205,8 @@ class Language:
     def offsets(self, src: str) -> tuple[str, list[int]]:
         """The kinds before folding and where each stands."""
         chars, at = [], []
-        for m in self.pattern.finditer(src):
+        flat = self.flat(src)
+        for m in self.pattern.finditer(self.plain(src if flat is None else flat)):
             t = m[1]
             c = self.texts.get(t)
             for x in self.kind(t) if c is None else c:
@@ -268,14 +306,18 @@ class Python(Language):
         )
         ops = _ops("**= //= >>= <<= ... := -> == != <= >= += -= *= /= %= @= &= |= ^= ** // >> <<") + r"|[-+*/%@&|^~<>()\[\]{},:;=!]|\.(?!\d)"
         self.pattern = _pattern(
-            r"[ \t\f]++|\\\r?\n|\#[^\r\n]*+", r"[A-Za-z_]\w*+(?![\"'])", nl, ops, number, self._fstring(), self._PLAIN, r"[^\W\d]\w*+"
+            r"[ \t\f]++", r"[A-Za-z_]\w*+(?![\"'])", nl, r"\#[^\r\n]*+", r"\\\r?\n", ops, number, self._fstring(), self._PLAIN, r"[^\W\d]\w*+"
         )
         self.is_f = re.compile(r"(?:[fF][rR]?|[rR][fF])[\"']")
         super().__init__()
         self.NL = self.kinds["NL"]
 
+    blanks = " \t\f"
+
     def kind(self, t: str) -> str:
         c = t[0]
+        if c == "#" or c == "\\" and len(t) > 1:
+            return ""
         if c in "\n\r":
             width = 0
             for x in t[max(t.rfind("\n"), t.rfind("\r")) + 1 :]:
@@ -412,15 +454,17 @@ class Python(Language):
 class Braces(Language):
     """What the brace languages share."""
 
-    raw = ""
-    word = r"[^\W\d]\w*+"
+    blanks = BLANKS.replace("\n", "")
 
     def kind(self, t: str) -> str:
         c = t[0]
         if c == "\n":
             return "\n"
-        if t.startswith("/*"):
-            return "\n" if len(t) > 3 and t.endswith("*/") else ERROR
+        if c == "/" and t[1:2] in ("/", "*"):
+            # a comment over several lines ends a line
+            if t[1] == "/" or len(t) > 3 and t.endswith("*/"):
+                return "\n" if "\n" in t and "\n" not in self.blanks else ""
+            return ERROR
         if c in "\"'`":
             return self.STR if len(t) > 1 and t[-1] == c else ERROR
         if c.isdigit() or c == "." and len(t) > 1:
@@ -447,7 +491,7 @@ class JavaScript(Braces):
         ).replace(r"\?\.", r"\?\.(?!\d)") + r"|[{}()\[\];,<>+\-*/%&|^!~?:=.@\#]"
         self.with_regex = re.compile(rf"({before}|{words})((?:{skip}|\n)*+)({regex})\Z")
         self.pattern = _pattern(
-            skip, rf"(?:{before}|{words})(?:{skip}|\n)*+{regex}", _LONG_COMMENT, r"/\*", r"\n", word, number, _DQ, _SQ,
+            _BLANK, rf"(?:{before}|{words})(?:{skip}|\n)*+{regex}", r"\n", word, _LINE_COMMENT, _LONG_COMMENT, r"/\*", number, _DQ, _SQ,
             _nested("", 3), ops,
         )
         super().__init__()
@@ -470,19 +514,69 @@ class JavaScript(Braces):
             return self.texts.get(m[1], ERROR) + self.REGEX
         return super().kind(t)
 
-    @staticmethod
-    def _plain(src: str) -> str:
-        """A source whose first line for the shell, if any, is a comment of the same length."""
+    def plain(self, src: str) -> str:
+        # a first line for the shell is a comment
         return "//" + src[2:] if src.startswith("#!") else src
 
-    def kinds_of(self, src: str) -> str:
-        return super().kinds_of(self._plain(src))
-
-    def lexed(self, src: str):
-        return super().lexed(self._plain(src))
-
-    def offsets(self, src: str) -> tuple[str, list[int]]:
-        return super().offsets(self._plain(src))
+    def nested_end(self, src: str, at: int) -> int:
+        return self._template_end(src, at) if src[at] == "`" else -1
+
+    def stand_in(self, text: str) -> str:
+        """The template with its expressions, if they are valid, as blanks; else as they are."""
+        out, i = [], 0
+        for a, z in self._fields(text):
+            if not self.matches("expr", text[a:z]):
+                return text
+            out += [text[i:a], re.sub(r"[^\n]", "0", text[a:z])]
+            i = z
+        return "".join([*out, text[i:]])
+
+    def _fields(self, t: str) -> list[tuple[int, int]]:
+        """Where the expressions of a template that is all of ``t`` lie."""
+        out, i = [], 1
+        while i < len(t) - 1:
+            if t[i] == "\\":
+                i += 2
+            elif t.startswith("${", i):
+                end = self._braces_end(t, i + 2)
+                out.append((i + 2, end - 1))
+                i = end
+            else:
+                i += 1
+        return out
+
+    def _template_end(self, src: str, at: int) -> int:
+        i = at + 1
+        while i < len(src):
+            if src[i] == "`":
+                return i + 1
+            if src.startswith("${", i):
+                i = self._braces_end(src, i + 2)
+                if i < 0:
+                    return -1
+            else:
+                i += 1 + (src[i] == "\\")
+        return -1
+
+    def _braces_end(self, src: str, at: int) -> int:
+        """Behind the brace that closes what begins at ``at``, or -1."""
+        depth = 1
+        while True:
+            m = self.pattern.match(src, at)
+            t = m[1]
+            if not t:
+                return -1
+            at = m.end()
+            if t == "`":
+                at = self._template_end(src, m.start(1))
+                if at < 0:
+                    return -1
+            elif t == "}":
+                depth -= 1
+                if not depth:
+                    return at
+            elif t[0] == "{" and len(t) == 1 or t.startswith("{") and self.with_regex.match(t):
+                depth += 1
 
     def _template(self, t: str) -> bool:
         """Whether the expressions of a template literal are valid."""
@@ -526,7 +620,7 @@ class Go(Braces):
     def __init__(self) -> None:
         ops = _ops("... <<= >>= &^= := == != <= >= && || <- ++ -- += -= *= /= %= &= |= ^= << >> &^") + r"|[{}()\[\];,<>+\-*/%&|^!~:=.]"
         self.pattern = _pattern(
-            rf"{_BLANK}|{_LINE_COMMENT}|{_INLINE_COMMENT}", _LONG_COMMENT, r"/\*", r"\n", r"[^\W\d]\w*+", rf"(?:{_C_NUMBER})i?",
+            _BLANK, r"\n", r"[^\W\d]\w*+", _LINE_COMMENT, _LONG_COMMENT, r"/\*", rf"(?:{_C_NUMBER})i?",
             _DQ, r"`[^`]*+`", r"'(?:\\[^'\n][^'\n]*+|\\'|[^'\\\n])'", ops,
         )
         super().__init__()
@@ -547,13 +641,15 @@ class Java(Braces):
     def __init__(self) -> None:
         ops = _ops("... -> :: <<= >>= == != <= >= && || ++ -- += -= *= /= %= &= |= ^= <<") + r"|[{}()\[\];,<>+\-*/%&|^!~?:=.@]"
         self.pattern = _pattern(
-            rf"{_BLANK}|\n++|{_LINE_COMMENT}|{_LONG_COMMENT}", r"/\*", r"(?:[^\W\d]|\$)[\w$]*+", rf"(?:{_C_NUMBER})[lLfFdD]?",
+            rf"{_BLANK}|\n++", r"(?:[^\W\d]|\$)[\w$]*+", _LINE_COMMENT, _LONG_COMMENT, r"/\*", rf"(?:{_C_NUMBER})[lLfFdD]?",
             r'"""[ \t\r]*\n(?:[^"\\]|\\[\s\S]|"(?!""))*+"""', _DQ, r"'(?:\\[^\n][^'\n]*+|[^'\\\n])'", ops,
         )
         self.ident = JavaScript.ident
         super().__init__()
         self.CHAR = self.kinds["CHAR"]
 
+    blanks = BLANKS
+
     def kind(self, t: str) -> str:
         return self.CHAR if t[0] == "'" and len(t) > 1 else super().kind(t)
 
@@ -562,17 +658,18 @@ class Rust(Braces):
     name, files = "rust", ("rust.peg",)
 
     def __init__(self) -> None:
-        comment = _LONG_COMMENT
-        for _ in range(4):
+        comment = r"/\*(?:[^*/]|\*(?!/)|/(?!\*))*+\*/"
+        for _ in range(2):
             comment = rf"/\*(?:[^*/]|\*(?!/)|/(?!\*)|{comment})*+\*/"
         raws = "|".join(rf'(?:b|c)?r{h}"(?:[^"]|"(?!{h}))*+"{h}' if h else r'(?:b|c)?r"[^"]*+"' for h in ("", "#", "##", "###"))
+        raws += r'|(?:b|c)?r\#{4,}+"'  # where it ends is looked for by itself
         number = (
             r"0x[\da-fA-F_]++|0b[01_]++|0o[0-7_]++"
             r"|\d[\d_]*+(?:\.(?![.\w])|\.\d[\d_]*+)?(?:[eE][+-]?[\d_]++)?"
         )
         ops = _ops("... ..= <<= :: -> => == != <= >= && || += -= *= /= %= &= |= ^= << ..") + r"|[{}()\[\];,<>+\-*/%&|^!~?:=.@\#$]"
         self.pattern = _pattern(
-            rf"{_BLANK}|\n++|{_LINE_COMMENT}|{comment}", r"/\*", raws, r'[bc]?"(?:[^"\\]|\\[\s\S])*+"',
+            rf"{_BLANK}|\n++", _LINE_COMMENT, comment, r"/\*", raws, r'[bc]?"(?:[^"\\]|\\[\s\S])*+"',
             r"b?'(?:\\(?:u\{[\da-fA-F_]*\}|x[\da-fA-F]{2}|[^\n])|[^'\\\n])'", r"'[^\W\d]\w*+", r"(?:r\#)?[^\W\d]\w*+",
             rf"(?:{number})(?:_?[iuf](?:8|16|32|64|128|size))?", ops,
         )
@@ -580,10 +677,33 @@ class Rust(Braces):
         super().__init__()
         self.CHAR, self.LIFETIME = self.kinds["CHAR"], self.kinds["LIFETIME"]
 
+    blanks = BLANKS
+    _NEST = re.compile(r"/\*|\*/")
+    _RAW = re.compile(r"(?:b|c)?r(#{4,}+)\"")
+
+    def nested_end(self, src: str, at: int) -> int:
+        if m := self._RAW.match(src, at):
+            end = src.find('"' + m[1], m.end())
+            return end + 1 + len(m[1]) if end >= 0 else -1
+        if src.startswith("/*", at):
+            depth = 0
+            for m in self._NEST.finditer(src, at):
+                depth += 1 if m[0] == "/*" else -1
+                if not depth:
+                    return m.end()
+        return -1
+
+    def stand_in(self, text: str) -> str:
+        if text.startswith("/*"):
+            return re.sub(r"[^\n]", " ", text)
+        return '"' + re.sub(r"[^\n]", "0", text[1:-1]) + '"'
+
     def kind(self, t: str) -> str:
         if t == "$":
             return self.kinds["$"]
         if len(t) > 1:
+            if self._RAW.fullmatch(t):
+                return ERROR
             if t[-1] == "'":
                 return self.CHAR
             if t[0] == "'":

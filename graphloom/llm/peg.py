@@ -16,6 +16,7 @@ to the end of the content.
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 _TOKEN = re.compile(r"\s*(?:#[^\n]*\n|(@[(\[{<])(\w+)[)\]}>]|'([^']+)'|(\w+)|([/*+?&!().=:]))")
 GROUP0 = 0x20000
@@ -23,6 +24,11 @@ GROUP0 = 0x20000
 MEMO_SIZE = 200_000
 
 
+def _refs(e) -> list[str]:
+    """The rules that an expression names, each as often as it does."""
+    return [e[1]] if e[0] == "ref" else [x for part in e[1:] if isinstance(part, list) for x in _refs(part)]
+
+
 class Kinds:
     """Characters for token kinds; brackets stand for themselves."""
 
@@ -44,14 +50,12 @@ class Grammar:
         self.groups: dict[tuple[str, int], str] = {}
         self.info: list[tuple[str, int]] = []
         self.contents: dict[str, dict[str, str]] = {b: {} for b in "([{<"}
-        # the state of one match
-        self.s, self.n, self.far, self.seen = "", 0, 0, {}
-        self.funcs: dict[str, object] = {}
+        # the rules as functions, and the state of one match
+        self.space: dict[str, object] = {"cut": self.cut.search}
         self.firsts: dict[str, tuple[frozenset, frozenset, bool]] = dict.fromkeys(self.rules, (frozenset(), frozenset(), False))
         while any([self._grow(name) for name in self.rules]):
             pass
-        for name in self.rules:
-            self.funcs[name] = self._rule(name)
+        exec(compile(self._source(), "grammar", "exec"), self.space)
 
     # -- reading the notation
 
@@ -165,7 +169,7 @@ class Grammar:
         b, mask = self.info[ord(c) - GROUP0]
         return any(b == bracket and mask & 1 << self.group_rules[bracket].index(rule) for bracket, rule in groups)
 
-    # -- rules as functions of a position: the end of the match, or -1
+    # -- rules as Python source: functions of a position that give the end of the match, or -1
 
     def _set_of(self, e) -> frozenset | None:
         """The tokens that ``e`` is a plain choice of."""
@@ -178,208 +182,134 @@ class Grammar:
             return self._set_of(self.rules[e[1]]) if self.rules[e[1]][0] in ("set", "or") else None
         return None
 
-    def _compile(self, e):
-        g = self
-        if (s := self._set_of(e) if e[0] != "ref" else None) is not None:
-
-            def one(i):
-                if i > g.far:
-                    g.far = i
-                return i + 1 if g.s[i] in s else -1
-
-            return one
-        kind = e[0]
+    def _table(self, test) -> str:
+        """The name of a table of answers by character, filled by ``test`` as characters are met."""
+
+        class Answers(dict):
+            def __missing__(self, c):
+                self[c] = found = test(c)
+                return found
+
+        name = f"T{len(self.space)}"
+        self.space[name] = Answers()
+        return name
+
+    def _var(self) -> str:
+        self.vars += 1
+        return f"v{self.vars}"
+
+    def _emit(self, e, p: str, r: str, pad: str) -> list[str]:
+        """Lines that match ``e`` at the position in variable ``p`` and leave the end, or -1, in variable ``r``."""
+        kind, seen = e[0], [f"{pad}if {p} > far: far = {p}"]
+        if (s := self._set_of(e)) is not None:
+            if len(s) == 1:
+                return [*seen, f"{pad}{r} = {p} + 1 if S[{p}] == {next(iter(s))!r} else -1"]
+            name = f"T{len(self.space)}"
+            self.space[name] = s
+            return [*seen, f"{pad}{r} = {p} + 1 if S[{p}] in {name} else -1"]
         if kind == "any":
-
-            def anything(i):
-                if i > g.far:
-                    g.far = i
-                return i + 1 if i < g.n else -1
-
-            return anything
+            return [*seen, f"{pad}{r} = {p} + 1 if {p} < N else -1"]
         if kind == "group":
-            bracket, rule = e[1]
-            bit = 1 << self.group_rules[bracket].index(rule)
-            info = self.info
-
-            def group(i):
-                if i > g.far:
-                    g.far = i
-                if (c := ord(g.s[i])) >= GROUP0:
-                    b, mask = info[c - GROUP0]
-                    if b == bracket and mask & bit:
-                        return i + 1
-                return -1
-
-            return group
+            first = (frozenset(), frozenset([e[1]]), False)
+            return [*seen, f"{pad}{r} = {p} + 1 if {self._table(lambda c: self._can(first, c))}[S[{p}]] else -1"]
         if kind == "ref":
-            name, funcs = e[1], self.funcs
-            if name not in self.rules:
-                raise ValueError(f"grammar: no rule {name}")
-            return lambda i: funcs[name](i)
+            if e[1] not in self.rules:
+                raise ValueError(f"grammar: no rule {e[1]}")
+            if e[1] in self.once:  # as if it were written here
+                first = self.firsts[e[1]]
+                can = self._table(lambda c: self._can(first, c))
+                out = [f"{pad}if {can}[S[{p}]]:", *self._emit(self.rules[e[1]], p, r, pad + " "), f"{pad}else:"]
+                return [*out, f"{pad} {r} = -1", f"{pad} if {p} > far: far = {p}"]
+            return [f"{pad}{r} = r_{e[1]}({p})"]
         if kind == "seq":
-            parts = [self._compile(x) for x in e[1:]]
-
-            def seq(i):
-                for p in parts:
-                    i = p(i)
-                    if i < 0:
-                        return -1
-                return i
-
-            return seq
+            out, at = [f"{pad}while True:"], p
+            for x in e[1:]:
+                to = self._var()
+                out += self._emit(x, at, to, pad + " ")
+                out += [f"{pad} if {to} < 0:", f"{pad}  {r} = -1", f"{pad}  break"]
+                at = to
+            return [*out, f"{pad} {r} = {at}", f"{pad} break"]
         if kind == "or":
-            parts = [(self._compile(x), self._first(x)) for x in e[1:]]
-            by_start: dict[str, tuple] = {}
-
-            def choice(i):
-                if i > g.far:
-                    g.far = i
-                c = g.s[i]
-                fit = by_start.get(c)
-                if fit is None:
-                    fit = by_start[c] = tuple(p for p, f in parts if g._can(f, c))
-                for p in fit:
-                    j = p(i)
-                    if j >= 0:
-                        return j
-                return -1
-
-            return choice
-        inner = self._compile(e[1])
-        if kind == "?":
-
-            first, starts = self._first(e[1]), {}
-
-            def option(i):
-                c = g.s[i]
-                ok = starts.get(c)
-                if ok is None:
-                    ok = starts[c] = g._can(first, c)
-                if not ok:
-                    if i > g.far:
-                        g.far = i
-                    return i
-                j = inner(i)
-                return i if j < 0 else j
-
-            return option
-        if kind in "*+":
-            least, first, starts = kind == "+", self._first(e[1]), {}
-
-            def many(i):
-                begin = i
-                while True:
-                    c = g.s[i]
-                    ok = starts.get(c)
-                    if ok is None:
-                        ok = starts[c] = g._can(first, c)
-                    if not ok:
-                        if i > g.far:
-                            g.far = i
-                        break
-                    j = inner(i)
-                    if j <= i:
-                        break
-                    i = j
-                return -1 if least and i == begin else i
-
-            return many
-        if kind == "&":
-            return lambda i: i if inner(i) >= 0 else -1
-        return lambda i: -1 if inner(i) >= 0 else i
-
-    def _rule(self, name: str):
-        g, body, key = self, self._compile(self.rules[name]), name
-        if (s := self._set_of(["ref", name])) is not None:
-
-            def one(i):
-                if i > g.far:
-                    g.far = i
-                return i + 1 if g.s[i] in s else -1
-
-            return one
-
-        first, starts = self.firsts[name], {}
-
-        def packrat(i):
-            c = g.s[i]
-            ok = starts.get(c)
-            if ok is None:
-                ok = starts[c] = g._can(first, c)
-            if not ok:
-                if i > g.far:
-                    g.far = i
-                return -1
-            found = g.seen.get((key, i))
-            if found is None:
-                far, g.far = g.far, i
-                end = body(i)
-                found = g.seen[key, i] = (end, g.far)
-                if far > g.far:
-                    g.far = far
-                return end
-            if found[1] > g.far:
-                g.far = found[1]
-            return found[0]
-
-        if name not in self.memos:
-            return packrat
-        memo, cut = self.memos[name], self.cut
-
-        def shared(i):
-            if i >= g.n:
-                return packrat(i)
-            s, n, at, slices = g.s, g.n, i, []
-            for _ in range(6):
-                m = cut.search(s, at, n)
-                at = m.end() if m else n
-                # one token of look-ahead, or a mark that the content ends here
-                key = s[i : at + 1]  # s ends with that mark
-                found = memo.get(key)
-                if found is not None:
-                    end, extent = found
-                    if i + extent > g.far:
-                        g.far = i + extent
-                    return i + end if end >= 0 else -1
-                slices.append((at - i if at < n else n - i + 1, key))
-                if at >= n:
-                    break
-            far, g.far = g.far, i
-            end = packrat(i)
-            extent = g.far - i
-            for seen, key in slices:
-                if extent <= seen:  # nothing outside the slice was looked at
-                    if len(memo) > MEMO_SIZE:
-                        memo.clear()
-                    memo[key] = (end - i if end >= 0 else -1, extent)
-                    break
-            if far > g.far:
-                g.far = far
-            return end
-
-        return shared
+            firsts = [self._first(x) for x in e[1:]]
+            fit = self._table(lambda c: sum(1 << k for k, f in enumerate(firsts) if self._can(f, c)))
+            m = self._var()
+            out = [*seen, f"{pad}{m} = {fit}[S[{p}]]", f"{pad}{r} = -1", f"{pad}while {m}:"]
+            for k, x in enumerate(e[1:]):
+                out.append(f"{pad} if {m} & {1 << k}:")
+                out += self._emit(x, p, r, pad + "  ")
+                out.append(f"{pad}  if {r} >= 0: break")
+            return [*out, f"{pad} break"]
+        if kind in "?*+":
+            first = self._first(e[1])
+            can, x = self._table(lambda c: self._can(first, c)), self._var()
+            if kind == "?":
+                out = [f"{pad}{r} = {p}", f"{pad}if {can}[S[{p}]]:", *self._emit(e[1], p, x, pad + " "), f"{pad} if {x} >= 0: {r} = {x}"]
+                return [*out, f"{pad}elif {p} > far: far = {p}"]
+            out = [f"{pad}{r} = {p}", f"{pad}while True:", f"{pad} if not {can}[S[{r}]]:", f"{pad}  if {r} > far: far = {r}", f"{pad}  break"]
+            out += [*self._emit(e[1], r, x, pad + " "), f"{pad} if {x} <= {r}: break", f"{pad} {r} = {x}"]
+            return out + [f"{pad}if {r} == {p}: {r} = -1"] * (kind == "+")
+        x = self._var()
+        hit, miss = (p, "-1") if kind == "&" else ("-1", p)
+        return [*self._emit(e[1], p, x, pad), f"{pad}{r} = {hit} if {x} >= 0 else {miss}"]
+
+    def _source(self) -> str:
+        """All rules as functions over the global text ``S`` of ``N`` kinds; ``far`` is the furthest position looked at.
+
+        A rule's matches are kept by position for one text; those of a ``memo`` rule also across texts, by what was read.
+        """
+        out, count = ["far = 0"], len(self.rules)
+        used = Counter(x for body in self.rules.values() for x in _refs(body))
+        roots = {"file", "value", "expr", *self.memos, *(x for names in self.group_rules.values() for x in names)}
+        self.once = {x for x in self.rules if used[x] == 1 and x not in roots and x not in _refs(self.rules[x])}
+        for k, name in enumerate(self.rules):
+            if name in self.once:
+                continue
+            self.vars = 0
+            first = self.firsts[name]
+            can = self._table(lambda c, first=first: self._can(first, c))
+            head = f"r_{name}" if name not in self.memos else f"packrat_{name}"
+            out += [
+                f"def {head}(i):", " global far", f" if not {can}[S[i]]:", "  if i > far: far = i", "  return -1", f" key = i * {count} + {k}",
+                " found = seen.get(key)", " if found is not None:", "  if found[1] > far: far = found[1]", "  return found[0]",
+                " before, far = far, i", *self._emit(self.rules[name], "i", "end", " "), " seen[key] = end, far", " if before > far: far = before", " return end",
+            ]
+            if name in self.memos:
+                self.space[f"memo_{name}"] = self.memos[name]
+                out += [
+                    f"def r_{name}(i):", " global far", f" if i >= N: return packrat_{name}(i)", " at, slices = i, []", " for _ in range(6):",
+                    "  m = cut(S, at, N)", "  at = m.end() if m else N",
+                    # one token of look-ahead, or a mark that the content ends here: S ends with that mark
+                    "  key = S[i : at + 1]", f"  found = memo_{name}.get(key)", "  if found is not None:", "   end, extent = found",
+                    "   if i + extent > far: far = i + extent", "   return i + end if end >= 0 else -1",
+                    "  slices.append((at - i if at < N else N - i + 1, key))", "  if at >= N: break",
+                    f" before, far = far, i", f" end = packrat_{name}(i)", " extent = far - i", " for reach, key in slices:",
+                    # nothing outside the slice was looked at
+                    "  if extent <= reach:", f"   if len(memo_{name}) > {MEMO_SIZE}: memo_{name}.clear()",
+                    f"   memo_{name}[key] = (end - i if end >= 0 else -1, extent)", "   break", " if before > far: far = before", " return end",
+                ]
+        return "\n".join(out)
 
     # -- matching
 
     def match(self, rule: str, content: str) -> tuple[bool, int]:
         """Whether all of ``content`` matches, and the furthest position that was looked at."""
-        self.s, self.n, self.far, self.seen = content + "\0", len(content), 0, {}
-        end = self.funcs[rule](0)
-        if end == self.n:
+        space = self.space
+        space["S"], space["N"], space["far"], space["seen"] = content + "\0", len(content), 0, {}
+        end = space["r_" + rule](0)
+        if end == len(content):
             return True, end
-        if end > self.far:
-            self.far = end
-        return False, self.far
+        return False, max(end, space["far"])
 
     def group(self, bracket: str, content: str) -> str:
         """The character of a group: equal for groups that match the same rules."""
         memo = self.contents[bracket]
         c = memo.get(content)
         if c is None:
-            mask = 0
+            mask, space, n = 0, self.space, len(content)
+            # one text, so what one rule has matched in it holds for the next
+            space["S"], space["N"], space["far"], space["seen"] = content + "\0", n, 0, {}
             for k, rule in enumerate(self.group_rules.get(bracket, ())):
-                if self.match(rule, content)[0]:
+                if space["r_" + rule](0) == n:
                     mask |= 1 << k
             c = self.groups.get((bracket, mask))
             if c is None:

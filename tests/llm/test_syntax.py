@@ -143,3 +143,28 @@ def test_long_chains_are_parsed_to_their_end(ext, head, part, end):
         assert check(chain + end) is True and check(chain + " else else" + end) is False
     assert syntax.why(ext, chain + " else else" + end)[0] > len(chain) - 9
     assert sys.getrecursionlimit() == limit
+
+
+def _template(depth: int, inner: str = "a + 1") -> str:
+    return inner if not depth else "`x ${" + _template(depth - 1, inner) + "} y`"
+
+
+@pytest.mark.parametrize("depth", [1, 3, 4, 5, 9])
+def test_nesting_has_no_bound(depth):
+    for ext in ("js", "ts"):
+        assert syntax.is_valid(ext, f"const a = {_template(depth)};\n")
+        assert not syntax.is_valid(ext, f"const a = {_template(depth, 'a +')};\n")
+        assert not syntax.is_valid(ext, f"const a = {_template(depth)[:-1]};\n")
+    comment = "/* a " * depth + "*/ " * depth
+    assert syntax.is_valid("rs", f"{comment}\nfn f() {{}}\n")
+    assert not syntax.is_valid("rs", f"{comment[:-3]}\nfn f() {{}}\n")
+    hashes = "#" * depth
+    assert syntax.is_valid("rs", f'fn f() {{ let a = r{hashes}"a "b" c\n"{hashes}; }}\n')
+    assert not syntax.is_valid("rs", f'fn f() {{ let a = r{hashes}"a "{hashes[1:]}; }}\n')
+
+
+def test_place_of_an_error_behind_deep_nesting():
+    src = f"const a = {_template(6)};\nconst = 2;\n"
+    assert syntax.why("js", src)[0] == src.index("= 2")
+    src = "/* a " * 7 + "*/ " * 7 + "\nfn f( {}\n"
+    assert syntax.why("rs", src) == (len(src), "truncated") or not syntax.is_valid("rs", src)
