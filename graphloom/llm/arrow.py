@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -26,6 +27,8 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[..., list[tuple]]], sche
     target = to_arrow_schema(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # parsing makes many objects that don't refer to each other; looking for cycles among them is wasted
+        gc.set_threshold(100_000, 50, 50)
         rows_of = make()
         for batch in batches:
             out: list[tuple] = []

@@ -16,7 +16,11 @@ NL0 = 0xE000
 _NAMED = re.compile(r"\\N\{[^{}]*\}")
 INDENTS = re.compile("[\ue000-\uf8ff]")
 SPLIT_INDENTS = re.compile("([\ue000-\uf8ff])")
+#: Equal entries of a long list one after the other; no rule tells three of them from more.
+LONG, RUNS = 64, re.compile(r"((?:[^,]{1,4},))\1{3,}")
 BRACKET = re.compile(r"([()\[\]{}])")
+INNERMOST = re.compile(r"[(\[{][^()\[\]{}]*+[)\]}]")
+MISFIT = "\x03"
 CLOSES = {"(": ")", "[": "]", "{": "}"}
 TEXT_CACHE = 300_000
 BLANKS = " \t\r\f\v\n\ufeff\u00a0"
@@ -68,6 +72,20 @@ class _Texts(dict):
         return c
 
 
+class _Folded(dict):
+    """Characters of groups by their text before folding."""
+
+    def __init__(self, lang: Language) -> None:
+        super().__init__()
+        self.lang = lang
+
+    def __missing__(self, s: str) -> str:
+        if len(self) > TEXT_CACHE:
+            self.clear()
+        self[s] = c = self.lang._group(s)
+        return c
+
+
 class Language:
     """A grammar with its lexer. ``keep`` is for subclasses: what a newline between two tokens becomes."""
 
@@ -92,6 +110,7 @@ class Language:
         classes = {"NAME", "NUM", "STR", "TPL", "REGEX", "CHAR", "LIFETIME", "NL", "NLS", "¬"}
         self.fixed = {t: c for t, c in k.of.items() if t not in classes} | {"": ""}
         self.texts: dict[str, str] = _Texts(self)
+        self.folded: dict[str, str] = _Folded(self)
         # the same with the blanks before a token
         self.spaced = re.compile(self.pattern.pattern.replace(")*+(", ")*+(?:", 1))
 
@@ -149,6 +168,14 @@ class Language:
         """``k`` with its newlines dropped or made tokens."""
         return k
 
+    def ends_line(self) -> list[int]:
+        """Kinds after which a newline can end a statement."""
+        return []
+
+    def begins_line(self) -> list[int] | None:
+        """Kinds that a statement can begin with behind such a newline; None for all."""
+        return None
+
     def content(self, bracket: str, c: str) -> str:
         return c
 
@@ -158,31 +185,31 @@ class Language:
     # -- folding
 
     def fold(self, k: str) -> tuple[str, int]:
-        """Groups folded to single characters, and -1 or the index of the bracket that doesn't fit."""
-        group, content, plain = self.grammar.group, self.content, type(self).content is Language.content
-        memos, stack, cur = self.grammar.contents, [], []
-        parts = BRACKET.split(k)
-        cur.append(parts[0])
-        for j in range(1, len(parts), 2):
-            c = parts[j]
-            if c in CLOSES:
-                stack.append((c, cur))
-                cur = [parts[j + 1]]
-            else:
-                if not stack:
-                    return "", sum(map(len, parts[:j]))
-                opened, outer = stack.pop()
-                if CLOSES[opened] != c:
-                    return "", sum(map(len, parts[:j]))
-                inner = "".join(cur)
-                if not plain:
-                    inner = content(opened, inner)
-                cur = outer
-                cur.append(memos[opened].get(inner) or group(opened, inner))
-                cur.append(parts[j + 1])
-        if stack:
-            return "", len(k)
-        return "".join(cur), -1
+        """Groups folded to single characters, the innermost first, and -1 or the index of the bracket that doesn't fit."""
+        folded, n, whole = self.folded.__getitem__, 1, k
+        while n:
+            k, n = INNERMOST.subn(lambda m: folded(m[0]), k)
+        if BRACKET.search(k) or MISFIT in k:
+            return "", self._misfit(whole)
+        return k, -1
+
+    def _group(self, s: str) -> str:
+        """The character of a bracketed group without brackets inside."""
+        if CLOSES[s[0]] != s[-1]:
+            return MISFIT
+        inner = s[1:-1]
+        if len(inner) > LONG:
+            inner = RUNS.sub(r"\1\1\1", inner)
+        return self.grammar.group(s[0], self.content(s[0], inner))
+
+    def _misfit(self, k: str) -> int:
+        stack = []
+        for m in BRACKET.finditer(k):
+            if m[0] in CLOSES:
+                stack.append(CLOSES[m[0]])
+            elif not stack or stack.pop() != m[0]:
+                return m.start()
+        return len(k)
 
     def matches(self, rule: str, src: str) -> bool:
         """Whether the whole text is ``rule``, as for the expressions inside string templates."""
@@ -505,6 +532,7 @@ class JavaScript(Braces):
         starters += [k[x] for x in ("NAME", "NUM", "STR", "REGEX", "++", "--", "@", "!", "~", "#")] + ["{"]
         e, s = re.escape("".join(enders)), re.escape("".join(starters))
         self.asi = re.compile(f"(?<=[{e}])\n+(?=[{s}])")
+        self.enders, self.starters = list(map(ord, enders)), list(map(ord, starters))
         self.before_brace = re.compile(f"(?<=\\))\n+(?={{)")
 
     def kind(self, t: str) -> str:
@@ -606,6 +634,12 @@ class JavaScript(Braces):
     def lines(self, k: str) -> str:
         return self.asi.sub(self.NLS, self.before_brace.sub("", k)).replace("\n", "")
 
+    def ends_line(self) -> list[int]:
+        return self.enders
+
+    def begins_line(self) -> list[int] | None:
+        return self.starters
+
     def content(self, bracket: str, c: str) -> str:
         return c if bracket == "{" else c.replace(self.NLS, "")
 
@@ -627,6 +661,10 @@ class Go(Braces):
         k = self.kinds
         ends = "".join(k[x] for x in ("NAME", "NUM", "STR", "break", "continue", "fallthrough", "return", "++", "--")) + ")]}"
         self.asi = re.compile(f"(?<=[{re.escape(ends)}])\n+")
+        self.enders = list(map(ord, ends))
+
+    def ends_line(self) -> list[int]:
+        return self.enders
 
     def kind(self, t: str) -> str:
         return self.NUM if t[0] == "'" and len(t) > 1 else super().kind(t)

@@ -239,6 +239,8 @@ class Grammar:
                 out += self._emit(x, p, r, pad + "  ")
                 out.append(f"{pad}  if {r} >= 0: break")
             return [*out, f"{pad} break"]
+        if e == ["*", ["any"]]:
+            return [f"{pad}if N > far: far = N", f"{pad}{r} = N"]
         if kind in "?*+":
             first = self._first(e[1])
             can, x = self._table(lambda c: self._can(first, c)), self._var()
