@@ -1,36 +1,41 @@
 """Generated, minified, bundled, vendored files and data stored as code.
 
-A file is lexed and put into canonical layout, one statement or brace to a line. What the original layout has in common
-with that tells how it was made: a file that expands many times was minified or bundled, one whose lines are all of a few
-shapes was written by a tool, one of nearly nothing but literals is data. Marks that tools leave at the head or foot,
-known third-party sources and the regions of a repository tell the rest.
+A file is lexed, put into canonical layout and compared with it (``canonical``). A file whose statements expand to many
+more lines than it has was minified or bundled; one of records that are laid out alike and count in equal steps was
+written by a tool; one of nearly nothing but literals is data. Marks that tools leave in comments before or after the
+code, known third-party sources and the regions of a repository tell the rest.
 """
 
 from __future__ import annotations
 
 import re
 import sys
-from collections import Counter
+from itertools import compress
 
+import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.arrow import map_rows, spread
-from graphloom.llm.lexers import INDENTS, language
+from graphloom.llm.canonical import Canonical
+from graphloom.llm.lexers import language
 from graphloom.llm.syntax import extension, is_valid
 from graphloom.session import materialise
 
-RESULT = "file_id bigint, ext string, expansion double, uniformity double, literals double, kind string, upstream string, valid boolean"
+RESULT = "file_id bigint, ext string, expansion double, uniformity double, literals double, kind string, n int, rare array<bigint>, valid boolean"
 #: Canonical lines to one original line from which a file is minified, and the code characters it needs at least.
 EXPANSION, EXPANSION_CHARS = 4.0, 200
-#: Share of lines of a few shapes from which a file is generated, with so many lines at least.
-UNIFORMITY, UNIFORMITY_LINES = 0.68, 12
+#: Share of the lines that are records and of their steps that are equal from which a file is generated, with so many
+#: lines at least; and the same without steps, for files of very many records.
+UNIFORMITY, STEPS, LINES = 0.7, 0.8, 8
+PERFECT, PERFECT_LINES = 0.95, 200
 #: Share of a file that is literals (by tokens, and by characters of numbers and of strings without blanks).
 LITERALS, OPAQUE = 0.7, 0.6
 #: Five-token shingles that a copy shares with its original, of those in either.
 SHINGLE, SIMILARITY = 5, 0.8
-#: Upstream sources are compared in memory up to so many bytes; beyond that by a join.
-UPSTREAM_BYTES = 64 << 20
+#: Bits of the filter that shingles of files have to pass before they are moved: 16 MiB whatever the size of the upstream.
+FILTER_BITS = 1 << 27
 
 # What tools write into their output, in several languages.
 _TOOL_MARK = re.compile(
@@ -49,20 +54,20 @@ _BY_HAND = re.compile(r"(?:modify|edit|change) (?:this file )?by hand", re.IGNOR
 _HASH_LINE = re.compile(r"^[ \t]*#(?![\[!])", re.MULTILINE)
 
 
-def margins(ext: str, text: str, texts: list[str], offsets: list[int], code: list[int]) -> tuple[str, str]:
-    """What stands before the first and after the last of the tokens ``code``: comments, however long they are.
+def margins(ext: str, text: str, tokens: list[str], stops: list[int]) -> tuple[str, str]:
+    """What stands before the first and after the last token, which end at ``stops``: comments, however long they are.
 
     Inner attributes of a Rust file belong to its head.
     """
     k = 0
-    while ext == "rs" and k + 2 < len(code) and [texts[i] for i in code[k : k + 3]] == ["#", "!", "["]:
+    while ext == "rs" and tokens[k : k + 3] == ["#", "!", "["]:
         depth, k = 1, k + 3
-        while depth and k < len(code):
-            depth += (texts[code[k]] == "[") - (texts[code[k]] == "]")
+        while depth and k < len(tokens):
+            depth += (tokens[k] == "[") - (tokens[k] == "]")
             k += 1
-    if k >= len(code):
+    if k >= len(tokens):
         return text, ""
-    return text[: offsets[code[k]]], text[offsets[code[-1]] + len(texts[code[-1]]) :]
+    return text[: stops[k] - len(tokens[k])], text[stops[-1] :]
 
 
 def marked(*comments: str) -> bool:
@@ -82,177 +87,165 @@ class Layout:
         lang = language(ext)
         text = "\n" + src if ext == "py" else src
         pieces, texts, ends, kinds = lang.lexed(text)
-        offsets = [b - len(t) for b, t in zip(ends, texts, strict=True)]
-        gaps = [p[: len(p) - len(t)] for p, t in zip(pieces, texts, strict=True)]
-        if ext == "py":
-            rows = INDENTS.sub("\n", "".join(kinds))
-        else:
-            rows = "".join(["\n" + k if "\n" in g else k for g, k in zip(gaps, kinds, strict=True)])
-        shapes = [x for x in rows.split("\n") if x]
-        breaks = {k for k in set(kinds) if not k or k == "\n" or "\ue000" <= k[0] < "\uf900"}
-        code = [i for i, k in enumerate(kinds) if k not in breaks]
-        self.tokens = [texts[i] for i in code]
-        self.margins = margins(ext, text, texts, offsets, code)
-        count = rows.count
-        semicolons = count(lang.kinds[";"])
-        canonical = len(shapes) + semicolons if ext == "py" else semicolons + count("{") + count("}")
-        literal = {lang.kinds[x] for x in ("NUM", "STR", "TPL", "CHAR")}
-        lit = sum(map(count, literal))
-        words = count(lang.NAME)
-        if lit > words:
-            words += sum(count(c) for t, c in lang.fixed.items() if t.isalpha())
-        numbers = lang.NUM
-        opaque = sum([len(t) for t, k in zip(texts, kinds, strict=True) if k in literal and (k == numbers or not (" " in t or "\n" in t))])
-        self.lines, self.chars = len(shapes), sum(map(len, self.tokens))
-        self.expansion = canonical / max(1, len(shapes))
-        counts = Counter([x for x in shapes if len(x) > 1])
-        total = sum(counts.values())
-        # shapes that come again and again, against all lines that are more than a bracket
-        again = sum(c for _, c in counts.most_common(4) if c >= 3)
-        self.uniformity = again / total if total >= UNIFORMITY_LINES else 0.0
+        c = self.canonical = Canonical(lang, pieces, texts, kinds)
+        self.tokens = c.tokens
+        self.margins = margins(ext, text, c.tokens, [ends[i] for i in c.at])
+        self.chars, self.lines = int(c.widths.sum()), c.lines
+        self.expansion = c.expansion
+        # numbers, and strings without a blank
+        opaque = sum([len(t) for t in compress(c.tokens, c.literal.tolist()) if not (" " in t or "\n" in t)])
+        lit, words = int(c.literal.sum()), c.words
         self.literals = lit / max(1, lit + words)
         self.opaque = opaque / max(1, self.chars)
+        self.uniformity, self.count = c.uniformity()
 
     @property
     def kind(self) -> str | None:
-        if self.chars >= EXPANSION_CHARS and self.expansion >= EXPANSION:
-            return "minified"
-        if self.literals >= LITERALS and (self.literals + self.opaque) >= 1.1 and self.chars >= EXPANSION_CHARS:
-            return "data"
-        if self.opaque >= OPAQUE and self.chars >= EXPANSION_CHARS:
-            return "data"
-        if self.uniformity >= UNIFORMITY:
+        if self.chars >= EXPANSION_CHARS:
+            if self.literals >= LITERALS and self.literals + self.opaque >= 1.1 or self.opaque >= OPAQUE:
+                return "data"
+            if self.expansion >= EXPANSION:
+                return "minified"
+        if self.uniformity >= UNIFORMITY and self.count >= LINES and self.canonical.counting() >= STEPS:
+            return "generated"
+        if self.uniformity >= PERFECT and self.count >= PERFECT_LINES:
             return "generated"
         return None
 
 
-def shingles(tokens: list[str]) -> set[int]:
-    """Hashes of runs of five tokens; fewer tokens are one run."""
-    if len(tokens) < SHINGLE:
-        return {hash(tuple(tokens))} if tokens else set()
-    return set(map(hash, zip(*[tokens[i:] for i in range(SHINGLE)], strict=False)))
+class _Hashes(dict):
+    """Stable 64-bit hashes of tokens."""
 
+    def __missing__(self, t: str) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        self[t] = h = xxhash.xxh3_64_intdigest(t)
+        return h
 
-class Upstream:
-    """Known third-party sources, to which files are compared by their shingles."""
-
-    def __init__(self, sources: list[tuple[str, str, str]]) -> None:
-        self.names: list[str] = []
-        self.sizes: list[int] = []
-        self.by_shingle: dict[int, list[int]] = {}
-        seen = set()
-        for name, path, source in sources:
-            ext = extension(path)
-            if not source or language(ext) is None or (ext, source) in seen:
-                continue
-            seen.add((ext, source))
-            found = shingles(Layout(ext, source).tokens)
-            for h in found:
-                self.by_shingle.setdefault(h, []).append(len(self.names))
-            self.names.append(name)
-            self.sizes.append(len(found))
-        self.known = set(self.by_shingle)
-
-    def like(self, tokens: list[str]) -> str | None:
-        """The source that ``tokens`` are most like, if the similarity is high enough."""
-        own, shared = shingles(tokens), Counter()
-        known = own & self.known
-        if len(known) < SIMILARITY * len(own):
-            return None  # no one source can share more than all of them together
-        for h in known:
-            shared.update(self.by_shingle[h])
-        best = max(((n / (len(own) + self.sizes[k] - n), -k) for k, n in shared.items()), default=(0.0, 0))
-        return self.names[-best[1]] if best[0] >= SIMILARITY else None
-
-
-_KNOWN: dict[int, Upstream] = {}
-
-
-def _upstream(shared) -> Upstream:
-    """The index of a broadcast, built once in each worker."""
-    key = hash(tuple(shared.value))
-    if key not in _KNOWN:
-        _KNOWN.clear()
-        _KNOWN[key] = Upstream(shared.value)
-    return _KNOWN[key]
-
-
-def _judge(upstream):
+
+_TOKEN_HASHES = _Hashes()
+_MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
+
+
+def shingles(tokens: list[str]) -> np.ndarray:
+    """The distinct hashes of runs of five tokens in ascending order; fewer tokens are one run."""
+    if not tokens:
+        return np.zeros(0, np.int64)
+    h = np.fromiter(map(_TOKEN_HASHES.__getitem__, tokens), np.uint64, len(tokens))
+    n = max(1, len(h) - SHINGLE + 1)
+    total = np.zeros(n, np.uint64)
+    for i, m in enumerate(_MIX[: min(SHINGLE, len(h))]):
+        x = h[i : i + n] * m
+        total += x ^ (x >> np.uint64(29))
+    total ^= total >> np.uint64(32)
+    total *= _MIX[1]
+    return np.unique((total ^ (total >> np.uint64(31))).view(np.int64))
+
+
+def rare(found: np.ndarray) -> np.ndarray:
+    """The shingles of which two sources must share one if they are similar enough: the first in one order for all.
+
+    Of n shingles any other set with the similarity has all but n - ceil(0.8 n), so one of the first n - ceil(0.8 n) + 1.
+    The order is that of the hashes, which is as good as random, so shingles that are in every file are seldom first.
+    """
+    n = len(found)
+    return found[: n - int(np.ceil(SIMILARITY * n - 1e-9)) + 1] if n else found
+
+
+def _bits(found: np.ndarray) -> np.ndarray:
+    return (found.view(np.uint64) % np.uint64(FILTER_BITS)).astype(np.int64)
+
+
+def _judge(shared):
     def make():
         sys.setrecursionlimit(20_000)
-        known = _upstream(upstream) if upstream is not None else None
+        words, values = shared.value
+        bits = np.zeros(FILTER_BITS // 64, np.uint64)
+        bits[words] = values
 
         def rows(file_id, path, source):
             ext = extension(path)
             if not source or language(ext) is None:
-                return [(file_id, ext, None, None, None, None, None, None)]
+                return [(file_id, ext, *[None] * 7)]
             a = Layout(ext, source)
-            kind = "generated" if marked(*a.margins) else a.kind
-            copy = known.like(a.tokens) if known else None
-            if copy and not kind:
-                kind = "vendored"
-            valid = is_valid(ext, source) if kind else None
-            return [(file_id, ext, a.expansion, a.uniformity, a.literals, kind, copy, valid)]
+            kind = a.kind or ("marked" if marked(*a.margins) else None)
+            own, hits = shingles(a.tokens), None
+            if not kind:
+                first = rare(own)
+                at = _bits(first)
+                hits = first[(bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1].tolist()
+            return [(file_id, ext, a.expansion, a.uniformity, a.literals, kind, len(own), hits, is_valid(ext, source) if kind else None)]
 
         return rows
 
     return make
 
 
-def _shingle_rows():
-    import xxhash
-
+def _rare_rows():
     def rows(file_id, path, source):
         ext = extension(path)
         if not source or language(ext) is None:
             return []
-        t = Layout(ext, source).tokens
-        found = {xxhash.xxh3_64_intdigest("\0".join(t[i : i + SHINGLE])) - (1 << 63) for i in range(max(1, len(t) - SHINGLE + 1))}
-        return [(file_id, len(found), h) for h in found]
+        found = shingles(Layout(ext, source).tokens)
+        return [(file_id, len(found), h, w) for h, w in zip(rare(found).tolist(), _bits(rare(found)).tolist(), strict=True)]
 
     return rows
 
 
-def copies(files: DataFrame, upstream: DataFrame) -> DataFrame:
-    """File and most similar upstream source by a join of shingles, for an upstream of any size."""
-    schema = "file_id bigint, n int, h bigint"
-    named = upstream.select(F.concat_ws("/", "lib", "path").alias("name"), "path", "source").dropDuplicates(["path", "source"])
-    ids = named.withColumn("file_id", F.xxhash64("name", "source"))
-    a = map_rows(spread(files.select("file_id", "path", "source")), _shingle_rows, schema).distinct()
-    b = map_rows(ids.select("file_id", "path", "source"), _shingle_rows, schema).distinct()
-    b = b.select(F.col("file_id").alias("up"), F.col("n").alias("m"), "h")
-    alike = F.col("shared") / (F.col("n") + F.col("m") - F.col("shared"))
-    return (
-        a.join(b, "h")
-        .groupBy("file_id", "up", "n", "m")
-        .agg(F.count("*").alias("shared"))
-        .where(alike >= SIMILARITY)
-        .groupBy("file_id")
-        .agg(F.max_by("up", F.struct(alike, "up")).alias("up"))
-        .join(ids.select(F.col("file_id").alias("up"), F.col("name").alias("upstream")), "up")
-        .select("file_id", "upstream")
-    )
+def _similar():
+    sys.setrecursionlimit(20_000)
+
+    def rows(file_id, path, source, up, up_path, up_source):
+        a, b = shingles(Layout(extension(path), source).tokens), shingles(Layout(extension(up_path), up_source).tokens)
+        shared = len(np.intersect1d(a, b, assume_unique=True))
+        alike = shared / max(1, len(a) + len(b) - shared)
+        return [(file_id, up, alike)] if alike >= SIMILARITY and is_valid(extension(path), source) else []
+
+    return rows
 
 
-def judged(files: DataFrame, upstream: DataFrame) -> DataFrame:
+class Upstream:
+    """Known third-party sources (lib, path, source): their first shingles, and a filter of fixed size for those."""
+
+    def __init__(self, upstream: DataFrame) -> None:
+        named = upstream.where("source <> ''").select(F.concat_ws("/", "lib", "path").alias("name"), "path", "source")
+        # one of the names of equal sources
+        self.sources = named.groupBy("path", "source").agg(F.min("name").alias("name")).withColumn("file_id", F.xxhash64("path", "source"))
+        self.rare = materialise(map_rows(self.sources.select("file_id", "path", "source"), _rare_rows, "up bigint, m int, h bigint, bit bigint"), "rare")
+        # at most FILTER_BITS / 64 words
+        words = self.rare.select(F.shiftright("bit", 6).alias("w"), F.expr("shiftleft(1L, int(bit % 64))").alias("v"))
+        rows = words.groupBy("w").agg(F.bit_or("v").alias("v")).toPandas()
+        spark = upstream.sparkSession
+        self.filter = spark.sparkContext.broadcast((rows["w"].to_numpy(np.int64), rows["v"].to_numpy(np.int64).view(np.uint64)))
+
+
+def copies(files: DataFrame, laid: DataFrame, upstream: Upstream) -> DataFrame:
+    """Valid files that are like an upstream source (file_id, upstream): the most similar one, of equal ones the first by name.
+
+    Files and sources meet by their first shingles, for which no pair of the similarity is missed; only those that meet
+    are compared, by all their shingles. ``laid`` are rows of ``judged``.
+    """
+    met = laid.where("rare is not null").select("file_id", "n", F.explode("rare").alias("h")).distinct()
+    # sizes of similar sets are near each other
+    near = F.col("n").between(F.ceil(SIMILARITY * F.col("m") - 1e-9), F.floor(F.col("m") / SIMILARITY + 1e-9))
+    pairs = met.join(upstream.rare.drop("bit").distinct(), "h").where(near).select("file_id", "up").distinct()
+    pairs = materialise(pairs, "pairs")
+    known = upstream.sources.select(F.col("file_id").alias("up"), F.col("path").alias("up_path"), F.col("source").alias("up_source"))
+    texts = files.select("file_id", "path", "source").join(pairs.select("file_id").distinct(), "file_id", "left_semi").dropDuplicates(["file_id"])
+    both = texts.join(pairs, "file_id").join(known, "up").select("file_id", "path", "source", "up", "up_path", "up_source")
+    alike = map_rows(both, _similar, "file_id bigint, up bigint, alike double")
+    named = alike.join(upstream.sources.select(F.col("file_id").alias("up"), "name"), "up")
+    return named.groupBy("file_id").agg(F.min_by("name", F.struct(-F.col("alike"), F.col("name"))).alias("upstream"))
+
+
+def judged(files: DataFrame, upstream: Upstream) -> DataFrame:
     """One row per row of ``files`` (file_id, path, source) with its layout and what kind of file that makes it.
 
-    ``kind`` is minified, generated, data, vendored or null for hand-written; ``valid`` is only known where there is a
-    kind. A null or empty source and an extension without a lexer are never more than hand-written.
+    ``kind`` is minified, generated, data, marked (by a tool's comment) or null; ``valid`` is only known where there is a
+    kind. ``rare`` are the file's first shingles that an upstream source may have too. A null or empty source and an
+    extension without a lexer have no layout.
     """
-    spark = files.sparkSession
-    size = upstream.agg(F.sum(F.length("source"))).first()[0] or 0
-    rows = spread(files.select("file_id", "path", "source"))
-    if size <= UPSTREAM_BYTES:
-        known = [(f"{r.lib}/{r.path}", r.path, r.source) for r in upstream.select("lib", "path", "source").collect()]
-        return map_rows(rows, _judge(spark.sparkContext.broadcast(known)), RESULT)
-    plain = map_rows(rows, _judge(None), RESULT).drop("upstream")
-    found = materialise(copies(files, upstream), "copies")
-    alike = files.join(found, "file_id").select("file_id", "path", "source", F.lit("copy").alias("provenance"))
-    sound = map_rows(alike, _validity, "file_id bigint, kind string").select("file_id", F.lit(True).alias("sound")).distinct()
-    kind = F.coalesce("kind", F.when(F.col("upstream").isNotNull(), "vendored"))
-    both = plain.join(found, "file_id", "left").join(sound, "file_id", "left")
-    return both.withColumn("kind", kind).withColumn("valid", F.coalesce("valid", "sound")).drop("sound")
+    return map_rows(spread(files.select("file_id", "path", "source")), _judge(upstream.filter), RESULT)
 
 
 def plain_path(c: Column) -> Column:
@@ -283,10 +276,14 @@ def provenances(files: DataFrame, regions: DataFrame) -> DataFrame:
 
 
 def not_handwritten(files: DataFrame, upstream: DataFrame, regions: DataFrame) -> DataFrame:
-    """Valid files that aren't hand-written, with the reason: a kind of ``judged`` or the provenance of their region."""
+    """Valid files that aren't hand-written, with the reason: a kind of ``judged``, ``vendored`` for copies of upstream
+    sources, or the provenance of their region."""
     below = materialise(provenances(files, regions), "provenances")
-    made = judged(files, upstream).where("kind is not null and valid").select("file_id", "kind").dropDuplicates(["file_id"])
-    made = materialise(made, "made")  # read twice below; the pass over the sources is made once
+    known = Upstream(upstream)
+    laid = materialise(judged(files, known).where("kind is not null or size(rare) > 0"), "laid")  # read twice below
+    made = laid.where("kind is not null and valid").select("file_id", "kind").dropDuplicates(["file_id"])
+    copied = copies(files, laid.where("kind is null"), known).select("file_id", F.lit("vendored").alias("kind"))
+    made = materialise(made.unionByName(copied), "made")
     placed = below.where("provenance <> 'authored'")
     rest = placed.join(made, "file_id", "left_anti")
     inside = files.join(rest, "file_id").select("file_id", "path", "source", "provenance")
