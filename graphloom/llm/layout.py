@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import sys
+from functools import lru_cache
 from itertools import compress
 
 import numpy as np
@@ -170,10 +171,13 @@ def _judge(shared):
             a = Layout(ext, source)
             kind = a.kind or ("marked" if marked(*a.margins) else None)
             own, hits = shingles(a.tokens), None
-            if not kind:
-                first = rare(own)
-                at = _bits(first)
-                hits = first[(bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1].tolist()
+            if not kind and len(own):
+                at = _bits(own)
+                known = (bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+                # no one source can share more than all of them together
+                if known.sum() >= SIMILARITY * len(own) - 1e-9:
+                    first = len(rare(own))
+                    hits = own[:first][known[:first]].tolist()
             return [(file_id, ext, a.expansion, a.uniformity, a.literals, kind, len(own), hits, is_valid(ext, source) if kind else None)]
 
         return rows
@@ -187,7 +191,8 @@ def _rare_rows():
         if not source or language(ext) is None:
             return []
         found = shingles(Layout(ext, source).tokens)
-        return [(file_id, len(found), h, w) for h, w in zip(rare(found).tolist(), _bits(rare(found)).tolist(), strict=True)]
+        first = len(rare(found))
+        return [(file_id, len(found), h, w, i < first) for i, (h, w) in enumerate(zip(found.tolist(), _bits(found).tolist(), strict=True))]
 
     return rows
 
@@ -195,8 +200,12 @@ def _rare_rows():
 def _similar():
     sys.setrecursionlimit(20_000)
 
+    @lru_cache(1000)
+    def known(path: str, source: str) -> np.ndarray:
+        return shingles(Layout(extension(path), source).tokens)
+
     def rows(file_id, path, source, up, up_path, up_source):
-        a, b = shingles(Layout(extension(path), source).tokens), shingles(Layout(extension(up_path), up_source).tokens)
+        a, b = known(path, source), known(up_path, up_source)
         shared = len(np.intersect1d(a, b, assume_unique=True))
         alike = shared / max(1, len(a) + len(b) - shared)
         return [(file_id, up, alike)] if alike >= SIMILARITY and is_valid(extension(path), source) else []
@@ -205,15 +214,16 @@ def _similar():
 
 
 class Upstream:
-    """Known third-party sources (lib, path, source): their first shingles, and a filter of fixed size for those."""
+    """Known third-party sources (lib, path, source): their first shingles, and a filter of fixed size for all of them."""
 
     def __init__(self, upstream: DataFrame) -> None:
         named = upstream.where("source <> ''").select(F.concat_ws("/", "lib", "path").alias("name"), "path", "source")
         # one of the names of equal sources
         self.sources = named.groupBy("path", "source").agg(F.min("name").alias("name")).withColumn("file_id", F.xxhash64("path", "source"))
-        self.rare = materialise(map_rows(self.sources.select("file_id", "path", "source"), _rare_rows, "up bigint, m int, h bigint, bit bigint"), "rare")
+        found = materialise(map_rows(self.sources.select("file_id", "path", "source"), _rare_rows, "up bigint, m int, h bigint, bit bigint, first boolean"), "upstream")
+        self.rare = found.where("first").select("up", "m", "h").distinct()
         # at most FILTER_BITS / 64 words
-        words = self.rare.select(F.shiftright("bit", 6).alias("w"), F.expr("shiftleft(1L, int(bit % 64))").alias("v"))
+        words = found.select(F.shiftright("bit", 6).alias("w"), F.expr("shiftleft(1L, int(bit % 64))").alias("v"))
         rows = words.groupBy("w").agg(F.bit_or("v").alias("v")).toPandas()
         spark = upstream.sparkSession
         self.filter = spark.sparkContext.broadcast((rows["w"].to_numpy(np.int64), rows["v"].to_numpy(np.int64).view(np.uint64)))
@@ -228,7 +238,7 @@ def copies(files: DataFrame, laid: DataFrame, upstream: Upstream) -> DataFrame:
     met = laid.where("rare is not null").select("file_id", "n", F.explode("rare").alias("h")).distinct()
     # sizes of similar sets are near each other
     near = F.col("n").between(F.ceil(SIMILARITY * F.col("m") - 1e-9), F.floor(F.col("m") / SIMILARITY + 1e-9))
-    pairs = met.join(upstream.rare.drop("bit").distinct(), "h").where(near).select("file_id", "up").distinct()
+    pairs = met.join(upstream.rare, "h").where(near).select("file_id", "up").distinct()
     pairs = materialise(pairs, "pairs")
     known = upstream.sources.select(F.col("file_id").alias("up"), F.col("path").alias("up_path"), F.col("source").alias("up_source"))
     texts = files.select("file_id", "path", "source").join(pairs.select("file_id").distinct(), "file_id", "left_semi").dropDuplicates(["file_id"])
