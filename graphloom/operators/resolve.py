@@ -37,6 +37,11 @@ def match_by_key(left: DataFrame, right: DataFrame) -> DataFrame:
     return a.join(b, "key").where("ra <> rb").select("src", "dst", from_rank(F.least("ca", "cb")).alias("confidence"))
 
 
+def grpc_stack(clients: DataFrame, services: DataFrame) -> DataFrame:
+    """Edges from clients to the services of other repositories that are what their key names before its first dot."""
+    return match_by_key(clients.withColumn("key", F.substring_index("key", ".", 1)), services)
+
+
 def http_stack(endpoints: DataFrame, routes: DataFrame) -> DataFrame:
     """Edges from endpoints to routes (id, repo, method, path, confidence) of the same method and normalised path.
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from graphloom.schema import weight
@@ -104,22 +104,20 @@ def activate(
     start = seeds.select("id").distinct().join(ids, "id", "left_semi").withColumn("p", F.lit(1.0 / max(1, s)))
     start = materialise(start, "seeds")
     v = start.select("id", F.col("p").alias("v"))
+    stuck = v.join(ways, "id", "left_anti").agg(F.sum("v")).first()[0] or 0.0
+    part = lambda df, v, old=F.lit(0.0), way=F.lit(0.0): df.select("id", v.alias("v"), old.alias("old"), way.alias("way"))
     for k in range(rounds):
-        stuck = v.join(ways, "id", "left_anti").agg(F.coalesce(F.sum("v"), F.lit(0.0)).alias("d"))
         moved = v.join(arcs, v.id == arcs.src).select(F.col("dst").alias("id"), (F.col("v") * F.col("w") * damping).alias("v"))
-        # one row of dangling mass meets the few seeds
-        home = start.crossJoin(F.broadcast(stuck)).select("id", ((1 - damping) * F.col("p") + damping * F.col("d") * F.col("p")).alias("v"))
-        new = moved.unionByName(home).groupBy("id").agg(F.sum("v").alias("v"))
-        if epsilon is not None:
-            new = materialise(new, "scores")
-            change = (
-                new.select("id", "v").unionByName(v.select("id", (-F.col("v")).alias("v"))).groupBy("id").agg(F.sum("v").alias("v")).agg(F.sum(F.abs("v"))).first()[0]
-            )
-            v = new
-            if (change or 0.0) < epsilon:
-                break
-        else:
-            v = materialise(new, "scores") if k % 3 == 2 else new
+        home = part(start, F.col("p") * (1 - damping + damping * stuck))
+        # one grouping adds the scores up and tells what has changed and what has no way out, seen as the table is written
+        rows = reduce(DataFrame.unionByName, [part(moved, F.col("v")), home, part(v, F.lit(0.0), F.col("v")), part(ways, F.lit(0.0), way=F.col("way"))])
+        new = rows.groupBy("id").agg(*[F.sum(c).alias(c) for c in ("v", "old", "way")])
+        seen = Observation(f"round-{k}")
+        new = new.observe(seen, F.sum(F.abs(F.col("v") - F.col("old"))).alias("change"), F.sum(F.when(F.col("way") == 0, F.col("v"))).alias("stuck"))
+        v = materialise(new.where("v > 0").select("id", "v"), "scores")
+        change, stuck = seen.get["change"] or 0.0, seen.get["stuck"] or 0.0
+        if epsilon is not None and change < epsilon:
+            break
     if specificity != "none":
         pairs = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
         degree = pairs.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count("*").alias("d"))

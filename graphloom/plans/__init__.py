@@ -1,8 +1,8 @@
 """Named queries over the engine's tables."""
 
-from graphloom.plans import data, graph, problems
+from graphloom.plans import data, graph, more, problems
 from graphloom.plans.registry import Query, Registry
 
-ALL = Registry(problems.QUERIES | graph.QUERIES | data.QUERIES)
+ALL = Registry(problems.QUERIES | graph.QUERIES | data.QUERIES | more.QUERIES)
 
 __all__ = ["ALL", "Query", "Registry"]

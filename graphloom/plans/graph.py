@@ -299,29 +299,27 @@ def shared_schema(spark: SparkSession, root: str) -> DataFrame:
     return resolve.pair_across_repos(types.join(modules, "parent_id"))
 
 
-def _routes(spark: SparkSession, root: str) -> DataFrame:
-    verbs = g.cells(spark, root).where("cell_type = 5").select(F.col("node_id").alias("id"), F.get_json_object("text", "$.method").alias("method"))
-    n = g.nodes(spark, root).where("kind = 5").select("id", F.col("repo_id").alias("repo"), F.regexp_replace("qname", "^route:", "").alias("path"), "confidence")
-    return n.join(verbs, "id").where("method is not null")
-
-
-_ROUTES = f"""{ctes('n c')}, r AS (SELECT DISTINCT id, repo_id AS repo, upper(json_extract_string(text, '$.method')) AS method,
-    regexp_extract(qname, '^route:(/[a-z])', 1) AS path, {_CONF} AS rk FROM n JOIN c ON c.node_id = n.id WHERE kind = 5 AND cell_type = 5)"""
+_VERB = "coalesce(json_extract_string(CASE WHEN json_valid(text) THEN text END, '$.method'), CASE WHEN NOT starts_with(ltrim(text), '{') THEN trim(text) END)"
+_PARTS = """list_transform(list_filter(string_split(trim(path), '/'), lambda x: x <> ''),
+      lambda x: CASE WHEN starts_with(x, ':') OR (starts_with(x, '{') AND ends_with(x, '}')) OR contains(x, '${') THEN '{}' ELSE x END)"""
+_OPTIONAL = ", ".join(f"'{x}'" for x in resolve.OPTIONAL_SEGMENTS)
 
 
 @QUERIES.add(
     "http_stack",
-    f"""{_ROUTES}, p AS (SELECT a.id AS src, b.id AS dst, CAST(1 AS INTEGER) AS level, least(a.rk, b.rk) AS r FROM r a JOIN r b ON a.method = b.method AND a.path = b.path AND a.repo <> b.repo)
-    SELECT src, dst, level, {_NAMED} AS confidence FROM p""",
+    f"""{ctes('n c')}, en AS (SELECT id, repo_id AS repo, upper(regexp_extract(qname, '^endpoint:([^:]*):', 1)) AS method, regexp_extract(qname, '^endpoint:[^:]*:(.*)$', 1) AS path, {_CONF} AS r
+      FROM n WHERE kind = 9 AND qname LIKE 'endpoint:%:%'), rt AS (
+    SELECT DISTINCT id, repo, upper(method) AS method, path, r FROM (
+      SELECT n.id, repo_id AS repo, {_VERB} AS method, regexp_replace(qname, '^route:', '') AS path, {_CONF} AS r FROM n JOIN c ON c.node_id = n.id
+        WHERE kind = 5 AND cell_type = 5 AND qname LIKE 'route:%'
+      UNION ALL SELECT id, repo_id, regexp_extract(qname, '^([^ ]+) ', 1), regexp_replace(qname, '^[^ ]+ ', ''), {_CONF} FROM n WHERE kind = 5 AND regexp_matches(qname, '^[^ ]+ /')) WHERE method IS NOT NULL),
+    ep AS (SELECT *, {_PARTS} AS p FROM en WHERE path <> '<unresolved>'), rp AS (SELECT *, '/' || array_to_string({_PARTS}, '/') AS key FROM rt),
+    lv AS (SELECT *, 0 AS level, '/' || array_to_string(p, '/') AS key FROM ep UNION ALL SELECT *, 1, '/' || array_to_string(p[2:], '/') FROM ep WHERE p[1] IN ({_OPTIONAL})
+      UNION ALL SELECT *, 2, '/' || array_to_string(p[3:], '/') FROM ep WHERE p[1] IN ({_OPTIONAL}) AND p[2] IN ({_OPTIONAL})),
+    h AS (SELECT lv.id AS src, rp.id AS dst, level, least(lv.r, rp.r) AS r, min(level) OVER (PARTITION BY lv.id) AS best FROM lv JOIN rp USING (method, key) WHERE lv.repo <> rp.repo)
+    SELECT DISTINCT src, dst, level, {_NAMED} AS confidence FROM h WHERE level = best""",
 )
 def http_stack(spark: SparkSession, root: str) -> DataFrame:
-    """Each repository's routes as other repositories' clients call them, by their first letter and below /api."""
-    routes = _routes(spark, root).withColumn("path", F.regexp_extract("path", "^(/[a-z])", 1)).distinct()
-    return resolve.http_stack(routes.withColumn("path", F.concat(F.lit("/api"), "path")), routes)
-
-
-@QUERIES.add("http_stack_paths")
-def http_stack_paths(spark: SparkSession, root: str) -> DataFrame:
     """HTTP endpoints with the routes of other repositories that have their method and whole path."""
     n = g.nodes(spark, root).select("id", F.col("repo_id").alias("repo"), "kind", "qname", "confidence")
     part = lambda i: F.regexp_extract("qname", r"^endpoint:([^:]*):([\s\S]*)$", i)
@@ -339,18 +337,10 @@ def http_stack_paths(spark: SparkSession, root: str) -> DataFrame:
 
 @QUERIES.add(
     "contains_match",
-    f"""{ctes('s n')}, o AS (SELECT DISTINCT lower(name) AS ka FROM n WHERE kind = 5 AND name IS NOT NULL), t AS (SELECT DISTINCT lower(name) AS kb FROM s WHERE name IS NOT NULL)
-    SELECT DISTINCT ka AS src, kb AS dst FROM (SELECT ltrim(regexp_extract(ka, '^/[a-z]+'), '/') AS ka FROM o), t WHERE contains(ka, kb) OR contains(kb, ka)""",
+    f"""{ctes('s n')}, a AS (SELECT DISTINCT lower(name) AS ka FROM n WHERE kind = 5 AND name IS NOT NULL), b AS (SELECT DISTINCT lower(name) AS kb FROM s WHERE name IS NOT NULL)
+    SELECT ka AS src, kb AS dst FROM a, b WHERE contains(ka, kb) OR contains(kb, ka)""",
 )
 def contains_match(spark: SparkSession, root: str) -> DataFrame:
-    word = F.ltrim(F.regexp_extract(F.lower("name"), "^/[a-z]+", 0), F.lit("/"))
-    ops = g.nodes(spark, root).where("kind = 5 and name is not null").select(word.alias("id"), word.alias("key")).distinct()
-    names = g.shared_nodes(spark, root).where("name is not null").select(F.lower("name").alias("id"), F.lower("name").alias("key")).distinct()
-    return resolve.contains_match(ops, names)
-
-
-@QUERIES.add("contains_match_names")
-def contains_match_names(spark: SparkSession, root: str) -> DataFrame:
     """Routes and shared nodes of which one's whole name contains the other's."""
     names = lambda n: n.where("name is not null").select(F.lower("name").alias("id"), F.lower("name").alias("key")).distinct()
     return resolve.contains_match(names(g.nodes(spark, root).where("kind = 5")), names(g.shared_nodes(spark, root)))
@@ -390,27 +380,27 @@ def stack_frames(spark: SparkSession, root: str) -> DataFrame:
     return frames(spark, root).groupBy("path", "line").agg(F.count("*").alias("frames"))
 
 
+@QUERIES.add("frame_nodes")
+def frame_nodes(spark: SparkSession, root: str) -> DataFrame:
+    """The innermost nodes at the stack frames of the documents."""
+    return resolve.frame_nodes(frames(spark, root).distinct(), g.nodes(spark, root))
+
+
 @QUERIES.add(
-    "frame_nodes",
+    "span_nodes",
     rf"""{ctes('n c')}, d AS (SELECT DISTINCT regexp_extract(json_extract_string(text, '$.file'), '([^/]*)$', 1) AS base,
       CAST(json_extract_string(text, '$.start_line') AS BIGINT) + 2 AS line FROM c WHERE cell_type = 3),
     h AS (SELECT base, line, id, count(*) OVER (PARTITION BY base, line) AS spans, row_number() OVER (PARTITION BY base, line ORDER BY end_line - start_line, id) AS k
       FROM d JOIN n ON regexp_extract(file, '([^/]*)$', 1) = base AND line - 1 BETWEEN start_line AND end_line)
     SELECT base || ':' || line AS frame, id, spans FROM h WHERE k = 1""",
 )
-def frame_nodes(spark: SparkSession, root: str) -> DataFrame:
+def span_nodes(spark: SparkSession, root: str) -> DataFrame:
     """The innermost nodes at the second line of everything that has a position."""
     at = g.cells(spark, root).where("cell_type = 3").select(F.from_json("text", "file string, start_line bigint").alias("p"))
     f = at.select(tx.basename(F.col("p.file")).alias("path"), (F.col("p.start_line") + 2).alias("line")).distinct()
     return resolve.frame_nodes(f.withColumn("frame", F.concat_ws(":", "path", "line")), g.nodes(spark, root))
 
 
-@QUERIES.add("frame_nodes_documents")
-def frame_nodes_documents(spark: SparkSession, root: str) -> DataFrame:
-    """The innermost nodes at the stack frames of the documents."""
-    return resolve.frame_nodes(frames(spark, root).distinct(), g.nodes(spark, root))
-
-
 @QUERIES.add(
     "doc_links",
     f"""{ctes('n')}, b AS (SELECT doc_id, generate_subscripts(string_split(text, '`'), 1) AS k, unnest(string_split(text, '`')) AS name FROM documents),
@@ -510,45 +500,9 @@ def parent_chain(spark: SparkSession, root: str) -> DataFrame:
     return traverse.parent_chain(g.nodes(spark, root))
 
 
-def _ppr_sql(profile: str, direction: str, specificity: str, rounds: int = 4) -> str:
-    arcs = "SELECT src, dst, w FROM x"
-    if direction == "backward":
-        arcs = "SELECT dst AS src, src AS dst, w FROM x"
-    if direction == "undirected":
-        arcs = "SELECT src, dst, w FROM x UNION ALL SELECT dst, src, w FROM x"
-    parts = [
-        f"x AS (SELECT src, dst, {schema.weight_sql('category', profile)} AS w FROM e WHERE src IN (SELECT id FROM n) AND dst IN (SELECT id FROM n))",
-        f"a AS (SELECT src, dst, sum(w) AS w FROM ({arcs}) GROUP BY ALL)",
-        "o AS (SELECT src, sum(w) AS total FROM a GROUP BY src)",
-        "seeds AS (SELECT id FROM n WHERE kind = 5)",
-        "p AS (SELECT id, 1.0::DOUBLE / (SELECT count(*) FROM seeds) AS p FROM seeds)",
-        "v0 AS (SELECT id, p AS v FROM p)",
-    ]
-    for k in range(rounds):
-        parts.append(
-            f"""v{k + 1} AS (SELECT id, sum(v) AS v FROM (SELECT a.dst AS id, v * w / total * 0.5 AS v FROM v{k} JOIN a ON v{k}.id = a.src JOIN o ON a.src = o.src
-            UNION ALL SELECT id, 0.5 * p + 0.5 * p * coalesce((SELECT sum(v) FROM v{k} WHERE id NOT IN (SELECT src FROM o)), 0) FROM p) GROUP BY id)"""
-        )
-    last = f"v{rounds}"
-    if specificity == "none":
-        score = "v"
-    else:
-        parts.append("d AS (SELECT id, count(*) AS d FROM (SELECT src AS id FROM x UNION ALL SELECT dst FROM x) GROUP BY id)")
-        score = "v / (1 + coalesce(d, 0))" if specificity == "idf" else "v * ln(2 + coalesce(d, 0))"
-        last += " LEFT JOIN d USING (id)"
-    return f"{ctes('n e')}, {', '.join(parts)} SELECT id, round({score}, 6) AS score FROM {last} WHERE v > 0"
-
-
 def _activation(name: str, profile: str, direction: str, specificity: str) -> None:
-    @QUERIES.add(name, _ppr_sql(profile, direction, specificity))
+    @QUERIES.add(name)  # no SQL: rounds go on until scores change by less than the operator's epsilon
     def run(spark: SparkSession, root: str) -> DataFrame:
-        found = traverse.activate(
-            g.nodes(spark, root), g.edges(spark, root), seeds(spark, root), profile, direction=direction, rounds=4, epsilon=None, specificity=specificity
-        )
-        return found.select("id", F.round("score", 6).alias("score"))
-
-    @QUERIES.add(f"{name}_converged")
-    def converged(spark: SparkSession, root: str) -> DataFrame:
         return traverse.activate(g.nodes(spark, root), g.edges(spark, root), seeds(spark, root), profile, direction=direction, specificity=specificity)
 
 

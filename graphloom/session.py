@@ -13,12 +13,15 @@ _SHIPPED: set[str] = set()
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where the session names none.
+    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where a local session names none.
 
-    A session without that setting is taken for a local one (tests), so a machine-local folder is only ever used there.
+    On a cluster the setting is needed, as executors would write into folders of their own.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="graphloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/graphloom/{spark.sparkContext.applicationId}"
