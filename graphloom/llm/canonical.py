@@ -67,10 +67,10 @@ class Canonical:
         codes = np.frombuffer("".join([k[:1] or "\x02" for k in kinds]).encode("utf-16-le"), np.uint16)
         solid = t.solid[codes]
         keep = solid.tolist()
-        self.at = np.flatnonzero(solid).tolist()
         self.tokens = list(compress(texts, keep))
-        self.k = "".join([k[0] for k in compress(kinds, keep)])
         k = codes[solid]
+        self.k = k.tobytes().decode("utf-16-le")
+        self.solid = solid
         n = len(k)
         # breaks of the source before each token
         breaks = np.array(["\n" in p for p in pieces], bool) if "\n" in lang.blanks else t.newline[codes]

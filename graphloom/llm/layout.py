@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import sys
+from collections.abc import Callable
 from functools import lru_cache
 from itertools import compress
 
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from graphloom.llm.arrow import map_rows, spread
 from graphloom.llm.canonical import Canonical
 from graphloom.llm.lexers import language
-from graphloom.llm.syntax import extension, is_valid
+from graphloom.llm.syntax import extension, is_valid, valid_lexed
 from graphloom.session import materialise
 
 RESULT = "file_id bigint, ext string, expansion double, uniformity double, literals double, kind string, n int, rare array<bigint>, valid boolean"
@@ -55,8 +56,8 @@ _BY_HAND = re.compile(r"(?:modify|edit|change) (?:this file )?by hand", re.IGNOR
 _HASH_LINE = re.compile(r"^[ \t]*#(?![\[!])", re.MULTILINE)
 
 
-def margins(ext: str, text: str, tokens: list[str], stops: list[int]) -> tuple[str, str]:
-    """What stands before the first and after the last token, which end at ``stops``: comments, however long they are.
+def margins(ext: str, text: str, tokens: list[str], stop: Callable[[int], int]) -> tuple[str, str]:
+    """What stands before the first and after the last token: comments, however long they are. ``stop`` tells where a token ends.
 
     Inner attributes of a Rust file belong to its head.
     """
@@ -68,7 +69,7 @@ def margins(ext: str, text: str, tokens: list[str], stops: list[int]) -> tuple[s
             k += 1
     if k >= len(tokens):
         return text, ""
-    return text[: stops[k] - len(tokens[k])], text[stops[-1] :]
+    return text[: stop(k) - len(tokens[k])], text[stop(-1) :]
 
 
 def marked(*comments: str) -> bool:
@@ -90,11 +91,15 @@ class Layout:
         pieces, texts, ends, kinds = lang.lexed(text)
         c = self.canonical = Canonical(lang, pieces, texts, kinds)
         self.tokens = c.tokens
-        self.margins = margins(ext, text, c.tokens, [ends[i] for i in c.at])
+        at = np.flatnonzero(c.solid)
+        self.margins = margins(ext, text, c.tokens, lambda i: ends[at[i]])
+        self.kinds = kinds
         self.chars, self.lines = int(c.widths.sum()), c.lines
         self.expansion = c.expansion
         # numbers, and strings without a blank
-        opaque = sum([len(t) for t in compress(c.tokens, c.literal.tolist()) if not (" " in t or "\n" in t)])
+        opaque = 0
+        if 2 * c.widths[c.literal].sum() > self.chars:
+            opaque = sum([len(t) for t in compress(c.tokens, c.literal.tolist()) if not (" " in t or "\n" in t)])
         lit, words = int(c.literal.sum()), c.words
         self.literals = lit / max(1, lit + words)
         self.opaque = opaque / max(1, self.chars)
@@ -115,13 +120,25 @@ class Layout:
 
 
 class _Hashes(dict):
-    """Stable 64-bit hashes of tokens."""
+    """Numbers of tokens as they are met, and stable 64-bit hashes by number."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.hashes = np.zeros(1 << 12, np.uint64)
 
     def __missing__(self, t: str) -> int:
+        n = len(self)
+        if n == len(self.hashes):
+            self.hashes = np.concatenate([self.hashes, np.zeros(n, np.uint64)])
+        self.hashes[n] = xxhash.xxh3_64_intdigest(t)
+        self[t] = n
+        return n
+
+    def of(self, tokens: list[str]) -> np.ndarray:
         if len(self) > 300_000:
             self.clear()
-        self[t] = h = xxhash.xxh3_64_intdigest(t)
-        return h
+        found = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
+        return self.hashes[found]
 
 
 _TOKEN_HASHES = _Hashes()
@@ -132,7 +149,7 @@ def shingles(tokens: list[str]) -> np.ndarray:
     """The distinct hashes of runs of five tokens in ascending order; fewer tokens are one run."""
     if not tokens:
         return np.zeros(0, np.int64)
-    h = np.fromiter(map(_TOKEN_HASHES.__getitem__, tokens), np.uint64, len(tokens))
+    h = _TOKEN_HASHES.of(tokens)
     n = max(1, len(h) - SHINGLE + 1)
     total = np.zeros(n, np.uint64)
     for i, m in enumerate(_MIX[: min(SHINGLE, len(h))]):
@@ -140,7 +157,10 @@ def shingles(tokens: list[str]) -> np.ndarray:
         total += x ^ (x >> np.uint64(29))
     total ^= total >> np.uint64(32)
     total *= _MIX[1]
-    return np.unique((total ^ (total >> np.uint64(31))).view(np.int64))
+    found = np.sort((total ^ (total >> np.uint64(31))).view(np.int64))
+    new = np.ones(len(found), bool)
+    new[1:] = found[1:] != found[:-1]
+    return found[new]
 
 
 def rare(found: np.ndarray) -> np.ndarray:
@@ -178,7 +198,7 @@ def _judge(shared):
                 if known.sum() >= SIMILARITY * len(own) - 1e-9:
                     first = len(rare(own))
                     hits = own[:first][known[:first]].tolist()
-            return [(file_id, ext, a.expansion, a.uniformity, a.literals, kind, len(own), hits, is_valid(ext, source) if kind else None)]
+            return [(file_id, ext, a.expansion, a.uniformity, a.literals, kind, len(own), hits, valid_lexed(ext, source, a.kinds) if kind else None)]
 
         return rows
 
