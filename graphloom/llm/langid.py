@@ -25,6 +25,12 @@ LATIN = ("en", "de", "fr", "es", "pt", "nl")
 SAMPLE, SAMPLE_CHARS = 400, 20_000
 #: Log odds that a change of language costs inside a sentence and between two.
 SWITCH, SWITCH_SENTENCE = 9.0, 2.5
+#: What one language may miss over a sentence that is decoded as a whole.
+SINGLE = SWITCH - 2 * SWITCH_SENTENCE
+#: Share of the words that a language knows below which a text of so many words or more is of none of them.
+LEAST_KNOWN, KNOWN_WORDS = 0.2, 6
+#: The language of what is none of ``LANGUAGES``.
+OTHER = "other"
 #: Words (or characters of Japanese) that a sentence has at least.
 LEAST_WORDS, LEAST_KANA = 4, 8
 #: Sentences that make a further language count.
@@ -67,10 +73,16 @@ _CODE_BITS = re.compile(r"=>|->|::|:=|==|!=|\+=|&&|\|\||\w\(\w*\)\s*;")
 _IDENT = re.compile(r"\w*(?:\d|_|[a-zß-ÿ][A-Z])\w*|\w+(?:[./\\:]+\w+)+|\S*[/\\@#{}<>=\[\]|~^]\S*")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _KANA = re.compile("[぀-ヿ㐀-鿿ｦ-ﾝ々〆]+")
+_HIRAGANA = re.compile("[぀-ヿｦ-ﾝ]")
 _CYRILLIC = re.compile("[Ѐ-ӿ]")
+_FOREIGN = re.compile("[^\x00-\u024fЀ-ӿ぀-ヿ㐀-鿿ｦ-ﾝ々〆\u2000-\u2bff\u1e00-\u1eff]")
 _EMOJI = re.compile("[☀-➿\U0001f000-\U0001ffff️‍]+")
 
 
+#: What an identifier has somewhere.
+_SUSPECT = re.compile(r"[\d_/\\@#{}<>=\[\]|~^]|[a-zß-ÿ][A-Z]|\w[./\\:]+\w")
+_LINE = re.compile(r"[^\s][^\n]*[^\s]|[^\s]")
+_UNSEEN = re.compile("[\u200b\u200c\u2060\ufeff\u00ad\r\u2028\u2029\x85]")
 #: Marks without width, and other ends of lines, as blanks of the same length.
 _INVISIBLE = {0x200B: " ", 0x200C: " ", 0x2060: " ", 0xFEFF: " ", 0xAD: " ", 0x0D: " ", 0x2028: "\n", 0x2029: "\n", 0x85: "\n"}
 
@@ -87,11 +99,37 @@ def label_language(label: str | None) -> str | None:
     return _ALIASES.get(t) or _ALIASES.get(re.split(r"[-_ (.@]", t, maxsplit=1)[0])
 
 
+def _without_fences(text: str) -> str:
+    """The text with fenced code and marks without width as blanks, of the same length."""
+    plain = _FENCE.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text) if "```" in text or "~~~" in text else text
+    return plain.translate(_INVISIBLE) if _UNSEEN.search(plain) else plain
+
+
+def _words(part: str) -> list[str]:
+    """The words of a part of a text without identifiers, paths and the like."""
+    part = _composed(part.replace("\x00", " "))
+    if _SUSPECT.search(part):
+        part = " ".join([_IDENT.sub(" ", x) if _SUSPECT.search(x) else x for x in part.split()])
+    return _WORD.findall(part)
+
+
+def rest(text: str, whole: list[tuple[int, int, list[str]]]) -> list[tuple[int, int, list[str]]]:
+    """What stands between the whole sentences of a text, line by line: start and end in the text, and words."""
+    plain, out = _without_fences(text), []
+    stops = [0, *[b for _, b, _ in whole]]
+    for a, b in zip(stops, [*[a for a, _, _ in whole], len(plain)], strict=True):
+        for m in _LINE.finditer(plain, a, b):
+            part = _DROP.sub(lambda x: " " * len(x[0]), _CODE.sub(lambda x: " " * len(x[0]), m[0]))
+            words = _words(part) or _KANA.findall(part)
+            if words:
+                out.append((m.start(), m.end(), words))
+    return out
+
+
 def sentences(text: str) -> list[tuple[int, int, list[str]]]:
     """Whole sentences of prose: start and end in the text, and words; code, identifiers, logs and greetings don't count."""
     blank = lambda m: " " * len(m[0])
-    plain = _FENCE.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text) if "```" in text or "~~~" in text else text
-    plain = plain.translate(_INVISIBLE)
+    plain = _without_fences(text)
     out = []
     at = 0
     for line in plain.split("\n"):
@@ -117,8 +155,8 @@ def sentences(text: str) -> list[tuple[int, int, list[str]]]:
             start, pos = pos, m.end()
             if _CODE_BITS.search(part):
                 continue
-            kana = sum(map(len, _KANA.findall(part)))
-            words = _WORD.findall(_IDENT.sub(" ", _composed(part.replace("\x00", " "))))
+            kana = 0 if part.isascii() else sum(map(len, _KANA.findall(part)))
+            words = _words(part)
             if kana >= LEAST_KANA:
                 words = _KANA.findall(part)
             elif len(words) < LEAST_WORDS:
@@ -203,14 +241,22 @@ class Model:
         return found
 
     def label(self, parts: list[list[str]]) -> list[tuple[str, float]]:
-        """Language and confidence of each sentence of a document: Viterbi over all its words."""
+        """Language and confidence of each sentence of a document: Viterbi over all its words.
+
+        The best score of a word is 0. Where one language misses at most ``SINGLE`` over a whole sentence, no switch inside
+        it can pay: it would cost ``SWITCH``, and going there and back between sentences costs no more than the rest. Such a
+        sentence is one step of the decoding, any other one step for each word.
+        """
         emit = self.emission
-        emissions = [[emit(w) for w in words] for words in parts]
         score: list[float] | None = None
-        steps: list[tuple[list[float], float, int]] = []  # scores before a word, those of a switch, the sentence
-        for k, sentence in enumerate(emissions):
+        steps: list[tuple[list[float], float, int]] = []  # scores before a step, those of a switch, the sentence
+        totals = []
+        for k, words in enumerate(parts):
+            emissions = [emit(w) for w in words]
+            sums = list(map(sum, zip(*emissions)))  # noqa: B905
+            totals.append((sums, len(words)))
             cost = SWITCH_SENTENCE
-            for s in sentence:
+            for s in [sums] if max(sums) >= -SINGLE else emissions:
                 if score is None:
                     score = list(s)
                     steps.append((score, -math.inf, k))
@@ -228,17 +274,20 @@ class Model:
             if before[at] < jump:
                 at = before.index(max(before))
         out = []
-        for v, s in zip(votes, emissions, strict=True):
+        for v, (sums, n) in zip(votes, totals, strict=True):
             best = v[0] if v.count(v[0]) == len(v) else max(set(v), key=lambda i: (v.count(i), -i))
-            out.append((LANGUAGES[best], self._sure(s, best)))
+            scale = max(1.0, n**0.5)
+            # how sure the words of the sentence alone make its language, from 0 to 1
+            out.append((LANGUAGES[best], round(1.0 / sum([math.exp(min(50.0, (x - sums[best]) / scale)) for x in sums]), 4)))
         return out
 
-    @staticmethod
-    def _sure(emissions: list[tuple[float, ...]], at: int) -> float:
-        """How sure the words of a sentence alone make its language, from 0 to 1."""
-        sums = list(map(sum, zip(*emissions)))  # noqa: B905
-        scale = max(1.0, len(emissions) ** 0.5)
-        return round(1.0 / sum(math.exp(min(50.0, (x - sums[at]) / scale)) for x in sums), 4)
+    def known(self, words: list[str], lang: str) -> float:
+        """The share of the words that are those of a language: by script, or by having been seen in it."""
+        if lang not in LATIN:
+            fit = _CYRILLIC if lang == "ru" else _KANA
+            return sum([bool(fit.search(w)) for w in words]) / len(words)
+        seen = self.words[lang]
+        return sum([w.lower() in seen for w in words]) / len(words)
 
 
 def sample(documents: DataFrame) -> list[tuple[str, str]]:
@@ -286,15 +335,28 @@ def fit(labelled: list[tuple[str, str]], rounds: int = 1) -> Model:
 SEGMENTS = "doc_id bigint, label string, segment int, start int, stop int, lang string, sentences int, confidence double"
 
 
-def _segmenter(shared):
+def _segmenter(shared, whole: bool):
     def make():
         words, grams = shared.value
         model = Model(words, grams)
 
+        def labelled(text: str) -> list[tuple[int, int, str, float]]:
+            found = sentences(text)
+            if whole:
+                labels = model.label([w for _, _, w in found])
+                return [(a, b, lang, sure) for (a, b, _), (lang, sure) in zip(found, labels, strict=True)]
+            found = sorted(found + rest(text, found))
+            kana, out = _HIRAGANA.search(text) is not None, []
+            for (a, b, w), (lang, sure) in zip(found, model.label([w for _, _, w in found]), strict=True):
+                share = model.known(w, lang)
+                if len(w) >= KNOWN_WORDS and share < LEAST_KNOWN or share == 0 and any(_FOREIGN.search(x) for x in w) or lang == "ja" and not kana:
+                    lang, sure = OTHER, round(1 - share, 4) if lang != "ja" else 0.5
+                out.append((a, b, lang, sure))
+            return out
+
         def rows(doc_id, lang, text):
-            found = sentences(text) if text else []
             out: list[list] = []
-            for (a, b, words), (name, sure) in zip(found, model.label([w for _, _, w in found]), strict=True):
+            for a, b, name, sure in labelled(text) if text else []:
                 if out and out[-1][5] == name:
                     out[-1][4], out[-1][6], out[-1][7] = b, out[-1][6] + 1, out[-1][7] + sure
                 else:
@@ -306,15 +368,17 @@ def _segmenter(shared):
     return make
 
 
-def segments(documents: DataFrame) -> DataFrame:
+def segments(documents: DataFrame, whole: bool = True) -> DataFrame:
     """One row per run of sentences of one language: place in the text, language, sentences, mean confidence.
 
-    ``label`` is the language that the document's label names, null if it names none. Documents without a whole sentence,
-    null, empty and blank texts give no rows. Only doc_id, lang and text are read.
+    With ``whole`` only whole sentences of prose are read; without it what stands between them is too, line by line, so that
+    every document with a word has a language. That is ``other`` where the best one knows hardly any of the words, and for
+    Chinese characters in a text without kana. ``label`` is the language that the document's label names, null if it names
+    none. Texts without a word, null, empty and blank ones give no rows. Only doc_id, lang and text are read.
     """
     model = fit(sample(documents))
     shared = documents.sparkSession.sparkContext.broadcast((model.words, model.grams))
-    return map_rows(spread(documents.select("doc_id", "lang", "text")), _segmenter(shared), SEGMENTS)
+    return map_rows(spread(documents.select("doc_id", "lang", "text")), _segmenter(shared, whole), SEGMENTS)
 
 
 def document_languages(found: DataFrame) -> DataFrame:

@@ -57,12 +57,12 @@ def p9_found(spark: SparkSession, root: str) -> DataFrame:
 
 @QUERIES.add("p9_languages")
 def p9_languages(spark: SparkSession, root: str) -> DataFrame:
-    return langid.document_languages(langid.segments(table(spark, root, "documents")))
+    return langid.document_languages(langid.segments(table(spark, root, "documents"), whole=False))
 
 
 @QUERIES.add("p9_segments")
 def p9_segments(spark: SparkSession, root: str) -> DataFrame:
-    return langid.segments(table(spark, root, "documents"))
+    return langid.segments(table(spark, root, "documents"), whole=False)
 
 
 #: Items that p2 keeps of every group.
