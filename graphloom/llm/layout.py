@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import re
 import sys
-from collections.abc import Callable
 from functools import lru_cache
 from itertools import compress
 
@@ -21,7 +20,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.arrow import map_rows, spread
 from graphloom.llm.canonical import Canonical
-from graphloom.llm.lexers import language
+from graphloom.llm.lexers import NL0, language
 from graphloom.llm.syntax import extension, is_valid, valid_lexed
 from graphloom.session import materialise
 
@@ -36,8 +35,8 @@ PERFECT, PERFECT_LINES = 0.95, 200
 LITERALS, OPAQUE = 0.7, 0.6
 #: Five-token shingles that a copy shares with its original, of those in either.
 SHINGLE, SIMILARITY = 5, 0.8
-#: Bits of the filter that shingles of files have to pass before they are moved: 16 MiB whatever the size of the upstream.
-FILTER_BITS = 1 << 27
+#: Bits of the filter that shingles of files have to pass before they are moved: 2 MiB whatever the size of the upstream.
+FILTER_BITS = 1 << 24
 
 # What tools write into their output, in several languages.
 _TOOL_MARK = re.compile(
@@ -56,8 +55,10 @@ _BY_HAND = re.compile(r"(?:modify|edit|change) (?:this file )?by hand", re.IGNOR
 _HASH_LINE = re.compile(r"^[ \t]*#(?![\[!])", re.MULTILINE)
 
 
-def margins(ext: str, text: str, tokens: list[str], stop: Callable[[int], int]) -> tuple[str, str]:
-    """What stands before the first and after the last token: comments, however long they are. ``stop`` tells where a token ends.
+def margins(ext: str, text: str, tokens: list[str], pieces: list[str], solid: np.ndarray) -> tuple[str, str]:
+    """What stands before the first and after the last token: comments, however long they are.
+
+    ``solid`` tells which of the ``pieces`` of the text are the tokens with the blanks before them.
 
     Inner attributes of a Rust file belong to its head.
     """
@@ -69,7 +70,8 @@ def margins(ext: str, text: str, tokens: list[str], stop: Callable[[int], int])
             k += 1
     if k >= len(tokens):
         return text, ""
-    return text[: stop(k) - len(tokens[k])], text[stop(-1) :]
+    at = np.flatnonzero(solid)
+    return text[: sum(map(len, pieces[: at[k] + 1])) - len(tokens[k])], text[len(text) - sum(map(len, pieces[at[-1] + 1 :])) :]
 
 
 def marked(*comments: str) -> bool:
@@ -88,11 +90,10 @@ class Layout:
     def __init__(self, ext: str, src: str) -> None:
         lang = language(ext)
         text = "\n" + src if ext == "py" else src
-        pieces, texts, ends, kinds = lang.lexed(text)
+        pieces, texts, _, kinds = lang.lexed(text, ends=False)
         c = self.canonical = Canonical(lang, pieces, texts, kinds)
         self.tokens = c.tokens
-        at = np.flatnonzero(c.solid)
-        self.margins = margins(ext, text, c.tokens, lambda i: ends[at[i]])
+        self.margins = margins(ext, text, c.tokens, pieces, c.solid)
         self.kinds = kinds
         self.chars, self.lines = int(c.widths.sum()), c.lines
         self.expansion = c.expansion
@@ -221,14 +222,16 @@ def _similar():
     sys.setrecursionlimit(20_000)
 
     @lru_cache(1000)
-    def known(path: str, source: str) -> np.ndarray:
-        return shingles(Layout(extension(path), source).tokens)
+    def known(path: str, source: str) -> tuple[np.ndarray, list[str]]:
+        ext = extension(path)
+        _, texts, _, kinds = language(ext).lexed("\n" + source if ext == "py" else source, ends=False)
+        return shingles([t for t, k in zip(texts, kinds, strict=True) if k and k != "\n" and not NL0 <= ord(k[0]) < 0xF900]), kinds
 
     def rows(file_id, path, source, up, up_path, up_source):
-        a, b = known(path, source), known(up_path, up_source)
+        (a, kinds), (b, _) = known(path, source), known(up_path, up_source)
         shared = len(np.intersect1d(a, b, assume_unique=True))
         alike = shared / max(1, len(a) + len(b) - shared)
-        return [(file_id, up, alike)] if alike >= SIMILARITY and is_valid(extension(path), source) else []
+        return [(file_id, up, alike)] if alike >= SIMILARITY and valid_lexed(extension(path), source, kinds) else []
 
     return rows
 

@@ -63,7 +63,7 @@ class _Texts(dict):
         self.lang = lang
 
     def __missing__(self, t: str) -> str:
-        c = self.lang.kind(t)
+        c = self.lang.NAME if t.isidentifier() else self.lang.kind(t)
         if c and len(t) < 80:
             if len(self) > TEXT_CACHE:
                 self.clear()
@@ -129,15 +129,18 @@ class Language:
             k = "".join(map(self.texts.__getitem__, self.pattern.findall(self.plain(flat))))
         return k
 
-    def lexed(self, src: str) -> tuple[list[str], list[str], list[int], list[str]]:
-        """Tokens and comments with the blanks before them and without, where each of them ends, and their kinds; one pass."""
+    def lexed(self, src: str, ends: bool = True) -> tuple[list[str], list[str], list[int], list[str]]:
+        """Tokens and comments with the blanks before them and without, where each of them ends, and their kinds; one pass.
+
+        Without ``ends`` nothing tells where they end.
+        """
         pieces = self.spaced.findall(self.plain(src))
         blanks = self.blanks
         found = [x.lstrip(blanks) for x in pieces]
         kinds = list(map(self.texts.__getitem__, found))
         if ERROR in kinds and (flat := self.flat(src)) is not None:
-            return self.lexed(flat)
-        return pieces, found, list(accumulate(map(len, pieces))), kinds
+            return self.lexed(flat, ends)
+        return pieces, found, list(accumulate(map(len, pieces))) if ends else [], kinds
 
     def flat(self, src: str) -> str | None:
         """``src`` with what nests deeper than the pattern put into a form of equal length that doesn't; None without any."""
@@ -538,7 +541,7 @@ class JavaScript(Braces):
     def kind(self, t: str) -> str:
         if t[0] == "`":
             return self.TPL if len(t) > 1 and self._template(t) else ERROR
-        if len(t) > 1 and (m := self.with_regex.match(t)):
+        if len(t) > 1 and "/" in t and t[0] not in "\"'" and (m := self.with_regex.match(t)):
             return self.texts.get(m[1], ERROR) + self.REGEX
         return super().kind(t)
 
