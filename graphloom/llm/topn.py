@@ -1,9 +1,11 @@
 """The N best items of every group by merging sorted runs.
 
 Each task turns its rows into a sorted run, ordered by group, score and item, that keeps no more than N items of a group,
-so a group of any size leaves a task as N rows. A run is cut into buckets by a hash of the group and every piece is stored
-as one record. A bucket's pieces are then merged with a loser tree; after N items of a group the merge seeks to the next
-group in every piece instead of reading on.
+so a group of any size leaves a task as N rows. A run is cut into buckets by a hash of the group, and every bucket's part
+into records of a bounded number of entries, which are stored in the shared folder. A bucket's records are then read in the
+order of their first entries and merged with a loser tree; after N items of a group the merge seeks to the next group
+everywhere. A record is read when the merge has come to its first entry, so a task holds no more than a record of each run,
+however much there is in a bucket.
 """
 
 from __future__ import annotations
@@ -16,10 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.session import ship
+from graphloom.session import materialise, ship
 
-#: Rows of one run, and runs that are merged at once; more are merged in several passes.
-RUN_ROWS, FAN_IN = 1_000_000, 256
+#: Rows of one run, entries of one stored record of it, and runs that ``merge_top`` merges at once.
+RUN_ROWS, RECORD, FAN_IN = 1_000_000, 4096, 256
 
 
 class LoserTree:
@@ -27,10 +29,10 @@ class LoserTree:
 
     END = (2,)  # behind every key, whose first field is 0 or 1
 
-    def __init__(self, sources: list[list[tuple]]) -> None:
+    def __init__(self, sources: list[list[tuple]], at: list[int] | None = None) -> None:
         self.sources, self.n = sources, max(1, len(sources))
-        self.at = [0] * len(sources)
-        self.heads = [s[0] if s else self.END for s in sources] or [self.END]
+        self.at = at or [0] * len(sources)
+        self.heads = [s[i] if i < len(s) else self.END for s, i in zip(sources, self.at, strict=True)] or [self.END]
         self.tree = [-1] * self.n
         self.winner = -1
         for i in range(self.n):
@@ -124,11 +126,14 @@ def _runs(n: int, buckets: int, out: pa.Schema):
             place = np.arange(len(groups)) - starts[np.cumsum(begin) - 1]
             t = t.take(pa.array(first[place < n]))
             bucket = t["bucket"].to_numpy()
-            cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])).astype(np.int32)
-            columns = [pa.array(bucket[cuts[:-1]], pa.int32())]
+            new = np.concatenate([[True], bucket[1:] != bucket[:-1]])
+            inside = np.arange(len(bucket)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+            cuts = np.append(np.flatnonzero(inside % RECORD == 0), len(bucket)).astype(np.int32)
+            heads = pa.array(cuts[:-1])
+            columns = [pa.array(bucket[cuts[:-1]], pa.int32()), *[t[c].take(heads).combine_chunks() for c in ("group", "score", "item")]]
             for name in ("group", "score", "item"):
                 columns.append(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), t[name].combine_chunks()))
-            yield pa.Table.from_arrays(columns, ["bucket", "group", "score", "item"]).cast(out).combine_chunks().to_batches()[0]
+            yield pa.Table.from_arrays(columns, out.names).cast(out).combine_chunks().to_batches()[0]
 
         held, rows = [], 0
         for b in batches:
@@ -144,24 +149,62 @@ def _runs(n: int, buckets: int, out: pa.Schema):
     return run
 
 
+class Merger:
+    """Merges records that come in the order of their first entries, and keeps ``n`` distinct items of every group."""
+
+    def __init__(self, n: int) -> None:
+        self.n, self.tree = n, LoserTree([])
+        self.group: tuple | None = None
+        self.seen: set = set()
+
+    def add(self, keys: list[tuple]) -> list[tuple]:
+        """Take a record in; gives (group, -score, item, rank) of what comes before its first entry."""
+        out = self.drain(keys[0])
+        # a group that is full already is passed over in what is still to come
+        at = bisect_right(keys, self.group, key=lambda k: k[:2]) if len(self.seen) == self.n else 0
+        left = [(s, i) for s, i in zip(self.tree.sources, self.tree.at, strict=True) if i < len(s)]
+        if at < len(keys):
+            left.append((keys, at))
+        self.tree = LoserTree([s for s, _ in left], [i for _, i in left])
+        return out
+
+    def drain(self, bound: tuple = LoserTree.END) -> list[tuple]:
+        """What comes before ``bound``."""
+        tree, out = self.tree, []
+        while (head := tree.head) < bound:
+            if head[:2] != self.group:
+                self.group, self.seen = head[:2], set()
+            if head[3] not in self.seen:
+                self.seen.add(head[3])
+                out.append((*head, len(self.seen)))
+                if len(self.seen) == self.n:
+                    tree.skip_group(self.group)
+                    continue
+            tree.advance()
+        return out
+
+
 def _merge(n: int, out: pa.Schema):
+    def batch(part: list[tuple]) -> pa.RecordBatch:
+        columns = [[None if k[0] else k[1] for k in part], [k[3] for k in part], [0.0 - k[2] for k in part], [k[4] for k in part]]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out, strict=True)], schema=out)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs = []
+        merger, bucket, found = Merger(n), None, []
         for b in batches:
-            for g, s, i in zip(*[b.column(c) for c in ("group", "score", "item")], strict=True):
+            for at, g, s, i in zip(*[b.column(c) for c in ("bucket", "group", "score", "item")], strict=True):
+                if bucket is not None and at.as_py() != bucket:
+                    found += merger.drain()
+                    merger = Merger(n)
+                bucket = at.as_py()
                 groups, scores, items = g.values.to_pylist(), s.values.to_numpy(zero_copy_only=False), i.values.to_pylist()
-                runs.append([(0, x, y, z) if x is not None else (1, 0, y, z) for x, y, z in zip(groups, (-scores).tolist(), items, strict=True)])
-        found = merge_top(runs, n)
-        rank, last = 0, None
-        ranks = []
-        for k in found:
-            rank = rank + 1 if k[:2] == last else 1
-            last = k[:2]
-            ranks.append(rank)
+                found += merger.add([(0, x, y, z) if x is not None else (1, 0, y, z) for x, y, z in zip(groups, (-scores).tolist(), items, strict=True)])
+                if len(found) >= 50_000:
+                    yield batch(found)
+                    found = []
+        found += merger.drain()
         for a in range(0, len(found), 100_000):
-            part = found[a : a + 100_000]
-            columns = [[None if k[0] else k[1] for k in part], [k[3] for k in part], [0.0 - k[2] for k in part], ranks[a : a + 100_000]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out, strict=True)], schema=out)
+            yield batch(found[a : a + 100_000])
 
     return run
 
@@ -188,6 +231,9 @@ def top_n(df: DataFrame, group: str, item: str, score: str, n: int, buckets: int
     stored = T.StructType(
         [
             T.StructField("bucket", T.IntegerType()),
+            T.StructField("first_group", kinds[group]),
+            T.StructField("first_score", T.DoubleType()),
+            T.StructField("first_item", kinds[item]),
             T.StructField("group", T.ArrayType(kinds[group])),
             T.StructField("score", T.ArrayType(T.DoubleType())),
             T.StructField("item", T.ArrayType(kinds[item])),
@@ -201,5 +247,6 @@ def top_n(df: DataFrame, group: str, item: str, score: str, n: int, buckets: int
             T.StructField("rank", T.IntegerType()),
         ]
     )
-    runs = rows.mapInArrow(_runs(n, buckets, to_arrow_schema(stored)), stored)
-    return runs.repartition(buckets, "bucket").mapInArrow(_merge(n, to_arrow_schema(result)), result)
+    runs = materialise(rows.mapInArrow(_runs(n, buckets, to_arrow_schema(stored)), stored), "runs")
+    order = ["bucket", F.asc_nulls_last("first_group"), F.desc("first_score"), "first_item"]
+    return runs.repartition(buckets, "bucket").sortWithinPartitions(*order).mapInArrow(_merge(n, to_arrow_schema(result)), result)

@@ -31,6 +31,7 @@ def test_matches_brute_force(spark, seed, monkeypatch):
     rng = random.Random(seed)
     monkeypatch.setattr(topn, "FAN_IN", 3)
     monkeypatch.setattr(topn, "RUN_ROWS", 100)
+    monkeypatch.setattr(topn, "RECORD", 3 if seed % 2 else 4096)
     rows = []
     for _ in range(3000):
         g = 1 if rng.random() < 0.4 else rng.choice([None, *range(200)])
@@ -67,3 +68,16 @@ def test_loser_tree_sorts(n):
 def test_seek_leaves_a_group_behind():
     runs = [[(0, 1, -k, str(k)) for k in range(1000, 0, -1)] + [(0, 2, -1.0, "b")] for _ in range(5)]
     assert [k[3] for k in merge_top(runs, 2)] == ["1000", "999", "b"]
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_records_are_merged_as_they_come(seed):
+    rng = random.Random(seed)
+    runs = [sorted((0, rng.randint(0, 6), -float(rng.randint(0, 9)), str(rng.randint(0, 30))) for _ in range(rng.randint(1, 60))) for _ in range(9)]
+    records = sorted((r[i : i + 4] for r in runs for i in range(0, len(r), 4)), key=lambda x: x[0])
+    merger, out, most = topn.Merger(3), [], 0
+    for r in records:
+        out += merger.add(r)
+        most = max(most, len(merger.tree.sources))
+    out += merger.drain()
+    assert [k[:4] for k in out] == merge_top(runs, 3) and most <= 2 * len(runs)
