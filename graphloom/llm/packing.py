@@ -1,6 +1,6 @@
 """Documents put into containers of a few fixed sizes with little space left unused.
 
-Items are dealt to blocks by a hash of their id; a block is packed on its own. Each new container is planned for every
+Pieces are dealt to blocks by a hash of their document and place; a block is packed on its own. Each new container is planned for every
 permitted size: the largest remaining item opens it and best fit fills it from the remaining sizes. The size that leaves
 the least of itself unused is opened, and in the end every container is downsized to the smallest size that holds its
 contents. Blocks are large, so what their last containers leave unused doesn't matter.
@@ -57,18 +57,17 @@ class Stock:
         best, change = room, None
         for size, _ in out[-2:]:
             space = room + size
-            at = bisect_right(self.sizes, space)
-            for k in range(at - 1, max(-1, at - 9), -1):
-                a = self.sizes[k]
-                if a <= size or free(a) < 1:
-                    continue
-                if space - a < best:
-                    best, change = space - a, (size, (a,))
+            at = k = bisect_right(self.sizes, space)
+            # the largest item that is free
+            while k and (a := self.sizes[k - 1]) > size:
+                if free(a) >= 1:
+                    if space - a < best:
+                        best, change = space - a, (size, (a,))
+                    break
+                k -= 1
             # two items whose sizes add up to the space
             low, high = 0, at - 1
-            steps = 0
-            while low <= high and best and steps < 64:
-                steps += 1
+            while low <= high and best:
                 a, b = self.sizes[low], self.sizes[high]
                 if a + b > space:
                     high -= 1
@@ -192,7 +191,8 @@ def pack_documents(sizes: DataFrame, containers: Sequence[tuple[str, int]], bloc
         (F.col("piece") * most).alias("start"),
         F.least(most, F.col("tokens") - F.col("piece") * most).alias("tokens"),
     )
-    n = max(1, round(sizes.count() / block))
-    dealt = pieces.select(F.pmod(F.xxhash64("doc_id"), F.lit(n)).alias("block"), "doc_id", "piece", "start", "tokens")
+    # pieces of one document go to different blocks, so however long it is it doesn't fill one
+    n = max(1, round((sizes.agg(F.sum(last + 1)).first()[0] or 0) / block))
+    dealt = pieces.select(F.pmod(F.xxhash64("doc_id", "piece"), F.lit(n)).alias("block"), "doc_id", "piece", "start", "tokens")
     kind = _parse_datatype_string(RESULT)
     return dealt.repartition(n, "block").mapInArrow(_packer(names, capacities, to_arrow_schema(kind)), kind)
