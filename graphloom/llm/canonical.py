@@ -37,7 +37,7 @@ class _Tables:
         self.step = np.zeros(1 << 16, np.int8)
         self.step[[ord(c) for c in "([{"]], self.step[[ord(c) for c in ")]}"]] = 1, -1
         self.tight = table(["(", ")", "[", "]", *named((",", ";", "."))])
-        self.literal = table([lang.kinds[x] for x in ("NUM", "STR", "TPL", "CHAR")])
+        self.literal = table([lang.kinds[x] for x in ("NUM", "STR", "BYTES", "TPL", "CHAR")])
         self.word = table([lang.NAME, *(c for w, c in of.items() if w.isalpha() and w.islower())])
         self.comma, self.semi = ord(of[","]), ord(of[";"])
         self.joined = table([")", "]", *named((",", ";", ".", "else", "while", "catch", "finally"))])

@@ -7,6 +7,7 @@ token's text; a comment's kind is empty. What nests deeper than the patterns do
 from __future__ import annotations
 
 import re
+import unicodedata
 from itertools import accumulate
 
 from graphloom.llm.peg import Grammar, Kinds
@@ -332,7 +333,9 @@ class Python(Language):
         number = (
             r"0[xX](?:_?[\da-fA-F])++|0[oO](?:_?[0-7])++|0[bB](?:_?[01])++"
             r"|(?:\d(?:_?\d)*+)?\.\d(?:_?\d)*+(?:[eE][+-]?\d(?:_?\d)*+)?[jJ]?"
-            r"|\d(?:_?\d)*+\.?(?:[eE][+-]?\d(?:_?\d)*+)?[jJ]?"
+            r"|\d(?:_?\d)*+(?:\.(?:[eE][+-]?\d(?:_?\d)*+)?[jJ]?|[eE][+-]?\d(?:_?\d)*+[jJ]?|[jJ])"
+            # a whole number doesn't begin with 0 unless it is 0
+            r"|(?:[1-9](?:_?\d)*+|0(?:_?0)*+)(?![\d_])"
         )
         ops = _ops("**= //= >>= <<= ... := -> == != <= >= += -= *= /= %= @= &= |= ^= ** // >> <<") + r"|[-+*/%@&|^~<>()\[\]{},:;=!]|\.(?!\d)"
         self.pattern = _pattern(
@@ -340,7 +343,27 @@ class Python(Language):
         )
         self.is_f = re.compile(r"(?:[fF][rR]?|[rR][fF])[\"']")
         super().__init__()
-        self.NL = self.kinds["NL"]
+        self.NL, self.BYTES = self.kinds["NL"], self.kinds["BYTES"]
+
+    is_b = re.compile(r"(?:[bB][rR]?|[rR][bB])[\"']")
+    _PREFIX = re.compile(r"\w*")
+    _ESCAPE = re.compile(r"\\(?:(\\)|x([\da-fA-F]{2})?|u([\da-fA-F]{4})?|U([\da-fA-F]{8})?|N(\{[^{}]*\})?)")
+
+    def _escapes(self, t: str) -> bool:
+        """Whether the escapes of a string with a fixed form have it."""
+        prefix = self._PREFIX.match(t)[0].lower()
+        if "r" in prefix:
+            return True
+        for m in self._ESCAPE.finditer(t):
+            c = m[0][1]
+            if c == "x" and not m[2] or "b" not in prefix and (c == "u" and not m[3] or c == "U" and (not m[4] or int(m[4], 16) > 0x10FFFF)):
+                return False
+            if c == "N" and "b" not in prefix:
+                try:
+                    unicodedata.lookup(m[5][1:-1])
+                except (KeyError, TypeError):
+                    return False
+        return True
 
     blanks = " \t\f"
 
@@ -354,6 +377,10 @@ class Python(Language):
                 width = width + 8 - width % 8 if x == "\t" else 0 if x == "\f" else width + 1
             return chr(NL0 + min(width, 0x18FF))
         if t[-1] in "\"'" and len(t) > 1:
+            if "\\" in t and not self._escapes(t):
+                return ERROR
+            if self.is_b.match(t):
+                return self.BYTES
             return self.STR if not self.is_f.match(t) or self._fields(t) else ERROR
         if c.isdigit() or c == "." and len(t) > 1:
             return self.NUM

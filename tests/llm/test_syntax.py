@@ -168,3 +168,36 @@ def test_place_of_an_error_behind_deep_nesting():
     assert syntax.why("js", src)[0] == src.index("= 2")
     src = "/* a " * 7 + "*/ " * 7 + "\nfn f( {}\n"
     assert syntax.why("rs", src) == (len(src), "truncated") or not syntax.is_valid("rs", src)
+
+
+PYTHON = [
+    "08\n", "0_7\n", "00\n", "0\n", "08.5\n", "09e1\n", "07j\n", "1_000\n", "1__0\n", "0x1f + 0b1\n", "f(**a, *b)\n", "f(*a, **b)\n", "f(a=1, *b)\n", "f(**a, b=1)\n", "f(**a, b)\n", "f(x for x in y)\n", "f(a, b for b in c)\n",
+    "'a' b'b'\n", "b'a' b'b'\n", "'a' 'b'\n", "'\\x1'\n", "'\\x12'\n", "'\\N{foo}'\n", "'\\N{DIGIT ONE}'\n", "r'\\x1'\n", "b'\\x1'\n", "'\\\\x1'\n", "def f(a=1, b): pass\n", "def f(a=1, *, b): pass\n", "def f(a, /, b=1, *c, d, **e): pass\n",
+    "def f(*): pass\n", "def f(*, a): pass\n", "def f(/, a): pass\n", "def f(**a, b): pass\n", "def f(a, *b, c=1, d): pass\n", "def f(a,): pass\n", "def f(a: int = 1, /, b): pass\n", "lambda a=1, b: 0\n", "lambda a, b=1, *c: 0\n", "lambda: 0\n", "match x:\n case b'a': pass\n",
+]
+
+
+@pytest.mark.parametrize("source", PYTHON)
+def test_python_agrees_with_its_own_parser(source):
+    assert language("py").valid(source) is syntax.python_accepts(source)
+
+
+def in_java(body: str) -> str:
+    return "class A { void f() { " + body + " } }"
+
+
+GOOD = {
+    "java": [in_java(x) for x in ("a();", "a.b().c();", "a++;", "--a;", "a.b[1] = 2;", "new A();", "new A().b();", "this.<T>f();", "super.f();", "(a).b();", "List<String> l = new ArrayList<>();", "a = b -> c;", "foo(a)[1]++;", "new int[3].clone();", "a.new B();")],
+    "js": ["a = 1;", "[a, b] = c;", "({a} = b);", "x ??= 1;", "const a = 1, b = 2;", "let a;", "for (const x of y) {}", "a = b = c;", "a > b ? c : d;", "x >>= 1;", "if (a) b = c; else d = !e;", "a ? b = 1 : c = 2;", "let f = async x => { y = 1 };"],
+    "ts": ["declare const x: number;", "export declare const y: string;", "abstract class A { abstract f(): void; }", "x = y as any;", "a!.b = 1;"],
+}
+BAD = {
+    "java": [in_java(x) for x in ("1 + 2;", "a;", "(limit);", "a.b;", "a[1];", "-a;", "(int) a;", "a ? b : c;", "List<> l = null;", "a() + b();")] + ["public public class A {}", "class A { public private int x; }"],
+    "js": ["1 = 2;", "a++ = 3;", "const x;", "a + b = c;", "!a = b;", "export export const a = 1;", "null = 1;", "const a = 1, b;"],
+    "ts": ["1 = 2;", "const x;"],
+}
+
+
+@pytest.mark.parametrize("ext", GOOD)
+def test_statements(ext):
+    assert [s for s in GOOD[ext] if not syntax.is_valid(ext, s)] == [] and [s for s in BAD[ext] if syntax.is_valid(ext, s)] == []
