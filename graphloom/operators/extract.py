@@ -76,7 +76,7 @@ def needles(files: DataFrame, table: list[tuple[str, str, str]], prefix: str, li
             seen = seen & any_
         label = F.lit(name)
         if literal:
-            after = F.substring(s, F.locate(needle, s) + len(needle), F.lit(300))
+            after = F.substr(s, F.locate(needle, s) + len(needle))
             topic = F.regexp_extract(after, r"^\s*\(?\s*" + _LITERAL, 1)
             label = F.when(topic != "", topic).otherwise(F.lit(name))
         return F.when(seen, F.struct(F.lit(k).alias("k"), label.alias("name")))
@@ -91,7 +91,7 @@ def calls_with_literal(files: DataFrame, calls: list[str], prefix: str) -> DataF
     s = F.col("source")
 
     def hit(call: str) -> Column:
-        name = F.regexp_extract(F.substring(s, F.locate(call, s) + len(call), F.lit(200)), r"^\s*" + _LITERAL, 1)
+        name = F.regexp_extract(F.substr(s, F.locate(call, s) + len(call)), r"^\s*" + _LITERAL, 1)
         return F.when(s.contains(call), F.when(name != "", name).otherwise(F.lit(call)))
 
     names = F.array_distinct(F.array_compact(F.array(*map(hit, calls))))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -70,26 +70,24 @@ def http_stack(endpoints: DataFrame, routes: DataFrame) -> DataFrame:
     return best.where("level = first").select("src", "dst", "level", from_rank(F.least("ca", "cb")).alias("confidence")).distinct()
 
 
-def contains_match(left: DataFrame, right: DataFrame, limit_bytes: int = 8 << 20) -> DataFrame:
+def contains_match(left: DataFrame, right: DataFrame) -> DataFrame:
     """Pairs (src, dst) of which one lower-case key contains the other, as GraphQL operations meet resolvers.
 
-    ``right`` is a dictionary of names; it is compared in memory up to ``limit_bytes``. Beyond that keys meet by three-letter
-    pieces first, which any two that contain each other share if the shorter has three letters; shorter ones stay few.
+    A key that lies in another begins with one of the other's pieces of its length, three letters at most; so keys meet by
+    equality on the first piece of the one and all pieces of the other. An empty key lies in every key. Null keys are out.
     """
     a = left.select(F.col("id").alias("src"), F.lower("key").alias("ka")).where("ka is not null")
     b = right.select(F.col("id").alias("dst"), F.lower("key").alias("kb")).where("kb is not null")
-    meets = F.col("ka").contains(F.col("kb")) | F.col("kb").contains(F.col("ka"))
-    size = b.agg(F.sum(F.length("kb") + 32)).first()[0] or 0
-    if size <= limit_bytes:
-        return a.join(F.broadcast(b), meets).select("src", "dst").distinct()
-    pieces = lambda k: F.when(
-        F.length(k) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(k) - 2), lambda i: F.substring(k, i, F.lit(3))))
-    ).otherwise(F.array(F.lit("")))
-    ga = a.withColumn("g", F.explode(pieces(F.col("ka"))))
-    gb = b.withColumn("g", F.explode(pieces(F.col("kb"))))
-    long = ga.join(gb, "g").where(meets).select("src", "dst")
-    short_a, short_b = a.where("length(ka) < 3"), b.where("length(kb) < 3")
-    return long.unionByName(short_a.join(b, meets).select("src", "dst")).unionByName(a.join(short_b, meets).select("src", "dst")).distinct()
+
+    def pieces(k: str) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(k), F.lit(1)))
+        of = [F.transform(starts, lambda i: F.substring(k, i, F.lit(1))), F.transform(starts, lambda i: F.substring(k, i, F.lit(2))), F.transform(starts, lambda i: F.substring(k, i, F.lit(3)))]
+        return F.array_distinct(F.concat(F.array(F.lit("")), *of))
+
+    first = lambda k: F.substring(k, 1, 3)
+    outer = a.withColumn("g", F.explode(pieces("ka"))).join(b.withColumn("g", first("kb")), "g").where(F.col("ka").contains(F.col("kb")))
+    inner = b.withColumn("g", F.explode(pieces("kb"))).join(a.withColumn("g", first("ka")), "g").where(F.col("kb").contains(F.col("ka")))
+    return outer.select("src", "dst").unionByName(inner.select("src", "dst")).distinct()
 
 
 def suffix_match(left: DataFrame, right: DataFrame) -> DataFrame:

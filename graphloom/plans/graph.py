@@ -265,7 +265,7 @@ def _shared(spark: SparkSession, root: str, kind: int) -> DataFrame:
     """Repositories that refer to shared nodes of a kind."""
     s = g.shared_nodes(spark, root).where(F.col("kind") == kind).select(F.col("id").alias("dst"), F.col("qname").alias("key"))
     e = g.edges(spark, root).groupBy("repo_id", "dst").agg(F.max(schema.conf_rank(F.col("confidence"))).alias("r"))
-    return e.join(F.broadcast(s), "dst").select(F.col("repo_id").alias("repo"), "key", schema.from_rank(F.col("r")).alias("confidence"))  # 200 shared nodes, fixed
+    return e.join(s, "dst").select(F.col("repo_id").alias("repo"), "key", schema.from_rank(F.col("r")).alias("confidence"))
 
 
 def _shared_sql(kind: int) -> str:

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from graphloom import session
 from graphloom.functions import names as nm
-from graphloom.operators import imports, passes, signals
+from graphloom.operators import entities, imports, passes, signals
+from graphloom.plans import scanners
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent / "tools"))
 FIXTURES = "diff_frames resolve_signals resolve_file resolve_imports resolve_sites test_edges provenance grpc_stack queue_stack websocket_stack".split()
 
 
-@pytest.mark.parametrize("name", FIXTURES)
+@pytest.mark.parametrize("name", [*FIXTURES, *scanners.QUERIES])
 def test_fixture_queries_match_their_sql(spark, name):
     from compare import connect, rows_of
 
@@ -70,3 +71,12 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(ValueError, match="checkpoint"):
         session.scratch_dir(Session())
+
+
+@pytest.mark.parametrize("name", [x for x in dir(entities) if callable(getattr(entities, x)) and not x.startswith("_") and x not in ("Column", "DataFrame")])
+def test_scanners_take_anything(spark, name):
+    rows = [(1, "a.py", None), (2, "b.tsx", ""), (3, "docker-compose.yml", "services:\n"), (4, "Dockerfile", "ENV"), (5, "k.yaml", "kind:\n---\n---"), (6, "x.js", "x" * 100_000), (7, None, "@Controller(")]
+    files = spark.createDataFrame(rows, "file_id bigint, path string, source string").selectExpr("*", "'x' as qname", "1 as n")
+    run = getattr(entities, name)
+    assert run(files).columns[0] == "file_id" and {r.file_id for r in run(files.unionByName(files)).collect()} <= {1, 2, 3, 4, 5, 6, 7}
+    assert run(files.limit(0)).collect() == []
