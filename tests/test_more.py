@@ -8,13 +8,14 @@ import __spark_entry__ as entry
 from graphloom import session
 from graphloom.functions import names as nm
 from graphloom.operators import entities, imports, passes, signals
+from graphloom.parsers import python
 from graphloom.plans import scanners
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent / "tools"))
 FIXTURES = "diff_frames resolve_signals resolve_file resolve_imports resolve_sites test_edges provenance grpc_stack queue_stack websocket_stack".split()
 
 
-@pytest.mark.parametrize("name", [*FIXTURES, *scanners.QUERIES])
+@pytest.mark.parametrize("name", [*FIXTURES, *scanners.QUERIES, "python_graph", "python_nodes"])
 def test_fixture_queries_match_their_sql(spark, name):
     from compare import connect, rows_of
 
@@ -80,3 +81,29 @@ def test_scanners_take_anything(spark, name):
     run = getattr(entities, name)
     assert run(files).columns[0] == "file_id" and {r.file_id for r in run(files.unionByName(files)).collect()} <= {1, 2, 3, 4, 5, 6, 7}
     assert run(files.limit(0)).collect() == []
+
+
+def test_python_items():
+    got = python.items(7, "a/__init__.py", "from . import x\nfrom .b import *\nclass C(D, m.E, f()):\n  async def g(self):\n    def h(): return self.g() + super().g() + y.z() + w()()\n  k = g(1)\n")
+    nodes = {r["qname"]: (r["kind"], r.get("parent_id")) for r in got if r["item"] == "node"}
+    ids = {r["qname"]: r["id"] for r in got if r["item"] == "node"}
+    assert nodes == {"a": (1, None), "a::C": (2, ids["a"]), "a::C::g": (4, ids["a::C"]), "a::C::g::h": (3, ids["a::C::g"])}
+    assert [(r["module"], r["name"], r["level"]) for r in got if r["item"] == "import"] == [("", "x", 0)]
+    sites = [(r["id"], r["shape"], r["base"], r["name"], r["category"]) for r in got if r["item"] == "site"]
+    c, h = ids["a::C"], ids["a::C::g::h"]
+    want = {
+        (c, "Bare", None, "D", 20), (c, "Attribute", "m", "E", 20), (c, "ComplexReceiver", None, None, 20), (h, "SelfMethod", None, "g", 4), (h, "SuperMethod", None, "g", 4), (h, "Attribute", "y", "z", 4),
+        (h, "ComplexReceiver", None, None, 4), (h, "Bare", None, "w", 4), (c, "Bare", None, "g", 4), (h, "Bare", None, "super", 4), (c, "Bare", None, "f", 4),
+    }
+    assert set(sites) == want
+    assert python.items(1, "b.py", "def f(:") == [] and [r["qname"] for r in python.items(None, "b.py", "")] == ["b"]
+    deep = "x = " + "(" * 150 + "1" + ")" * 150
+    assert len(python.items(1, "c.py", deep)) <= 1 and len(python.items(1, "d.py", "f()\n" * 20_000)) == 20_001
+
+
+def test_python_graph_of_empty_and_repeated_tables(spark):
+    schema = "repo_id bigint, path string, source string"
+    assert [df.collect() for df in python.graph(spark.createDataFrame([], schema))] == [[], [], []]
+    rows = [(1, "a.py", "def f(): return g()\ndef g(): pass\n")] * 3 + [(None, "b.py", "x()")]
+    nodes, edges, open_ = python.graph(spark.createDataFrame(rows, schema).selectExpr("*", "'n' as name", "1 as kind"))
+    assert nodes.count() == 4 and edges.count() == 1 and [r.name for r in open_.collect()] in ([], ["x"])
