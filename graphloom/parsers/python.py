@@ -1,34 +1,17 @@
 """The Python front end: modules, classes, functions, imports, bases and calls by the interpreter's own syntax tree.
 
-A file is parsed once, on its own, in Arrow batches; what it says of others is resolved afterwards by joins
-(``operators.imports``).
+A file is parsed once, on its own; what it says of others is resolved afterwards by joins.
 """
 
 from __future__ import annotations
 
 import ast
-import hashlib
 import warnings
-from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.operators import imports as imp
-from graphloom.session import materialise, ship
-
-ITEMS = (
-    "item string, repo_id bigint, file string, id string, kind int, name string, qname string, parent_id string, start_line int, end_line int,"
-    " ord bigint, from_module string, style string, module string, alias string, level int, shape string, base string, category int"
-)
-MODULE, CLASS, FUNCTION, METHOD = 1, 2, 3, 4
-IMPORTS, CALLS, INHERITS = 3, 4, 20
-
-
-def node_id(repo: int | None, qname: str, kind: int) -> str:
-    """A stable id: equal for equal repository, qualified name and kind."""
-    return hashlib.blake2b(f"{repo}\0{kind}\0{qname}".encode(), digest_size=8).hexdigest()
+from graphloom.parsers import CALLS, CLASS, FUNCTION, INHERITS, METHOD, MODULE, assemble, node_id, parsed
 
 
 def module_name(path: str) -> str:
@@ -98,43 +81,9 @@ def parse(files: DataFrame) -> DataFrame:
 
     Null sources, other extensions and invalid sources give nothing. Resent rows give the same again.
     """
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    ship(files.sparkSession)
-    kind = _parse_datatype_string(ITEMS)
-    target = to_arrow_schema(kind)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for repo, path, source in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                found = items(repo, path, source)
-                if found:
-                    yield pa.RecordBatch.from_pylist(found, schema=target)
-
-    rows = files.where("path like '%.py' and source is not null").select(F.col("repo_id").cast("bigint"), "path", "source")
-    return rows.mapInArrow(run, kind)
+    return parsed(files.where("path like '%.py' and source is not null").select(F.col("repo_id").cast("bigint"), "path", "source"), items)
 
 
 def graph(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Nodes, edges (src, dst, category) and unresolved sites of the Python files among ``files`` (repo_id, path, source).
-
-    Imports become IMPORTS edges between modules, calls CALLS edges and bases INHERITS_FROM edges, each once. The type of a
-    receiver other than self isn't known, so methods called on variables stay unresolved.
-    """
-    found = materialise(parse(files), "python-items")
-    nodes = found.where("item = 'node'").select("id", "repo_id", "kind", "name", "qname", "parent_id", "file", "start_line", "end_line").dropDuplicates(["id"])
-    nodes = materialise(nodes, "python-nodes")
-    key = F.concat_ws("\x01", "file", F.lpad(F.col("ord").cast("string"), 10, "0"))
-    stmts = found.where("item = 'import'").select(key.alias("import_id"), "repo_id", "from_module", "style", "module", "name", "alias", "level")
-    met = materialise(imp.resolve_imports(stmts, nodes), "python-imports")
-    linked = met.where("src <> dst").select("src", "dst", F.lit(IMPORTS).alias("category")).distinct()
-    # a file lies in one module, so a site's module is its file's
-    modules = nodes.where(F.col("kind") == MODULE).select("repo_id", "file", F.col("id").alias("module"))
-    around = nodes.select("id", "parent_id").join(nodes.where(F.col("kind") == CLASS).select(F.col("id").alias("parent_id"), F.col("id").alias("owner")), "parent_id").select("id", "owner")
-    sites = found.where("item = 'site'").select(F.concat_ws("\x01", "repo_id", key).alias("site_id"), "repo_id", "file", "id", "shape", "base", "name", "category")
-    placed = sites.join(modules, ["repo_id", "file"]).join(around, "id", "left")
-    hits = imp.resolve_sites(placed.select("site_id", "module", "owner", "shape", "base", "name", "category"), nodes, imp.bindings(met))
-    both = materialise(placed.select("site_id", F.col("id").alias("src"), "category", "shape", "base", "name").join(hits, "site_id"), "python-sites")
-    edges = linked.unionByName(both.where("dst is not null").select("src", "dst", "category").distinct())
-    return nodes, edges, both.where("dst is null").select("src", "category", "shape", "base", "name").distinct()
+    """Nodes, edges (src, dst, category) and unresolved sites of the Python files among ``files`` (repo_id, path, source)."""
+    return assemble(parse(files))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.parsers import python
+from graphloom.parsers import go, python
 from graphloom.plans.registry import Registry
 from graphloom.plans.scanners import expected
 from graphloom.sources import table
@@ -64,3 +64,29 @@ def python_sources(spark: SparkSession, root: str) -> DataFrame:
     found = python.parse(files.select("repo_id", "path", "source"))
     once = found.select("repo_id", "file", "ord", "item", "kind", "category").distinct()
     return once.groupBy("repo_id", "item", "kind", "category").agg(F.count("*").alias("items"))
+
+
+GO = [
+    (1, "go.mod", "module example.com/shop\n\ngo 1.22\n"),
+    (1, "helpers/helpers.go", "package helpers\n\n// HashPassword( hides.\nfunc HashPassword(p string) string {\n\treturn inner(p) + \"no(\"\n}\n"),
+    (1, "helpers/extra.go", "package helpers\n\nfunc inner(p string) string { return p }\n"),
+    (1, "users/users.go", "package users\n\nimport \"fmt\"\n\ntype User struct {\n\tName string\n}\n\nfunc (u *User) Login(p string) error { return nil }\n\nfunc (u *User) Save(f func() error) (err error) {\n\tfmt.Println(u.Name)\n\tu.repo.Put(u)\n\treturn u.Login(\"x\")\n}\n"),
+    (1, "auth/auth.go", "package auth\n\nimport (\n\th \"example.com/shop/helpers\"\n\t\"example.com/shop/users\"\n)\n\nfunc DoLogin(n string) interface{} {\n\tvar u users.User\n\tif (n == \"\") { u.Login(n) }\n\treturn h.HashPassword(n)\n}\n"),
+    (1, "bad.go", "no package"), (1, "null.go", None),
+]
+
+
+@QUERIES.add(
+    "go_graph",
+    expected(
+        [
+            (3, "auth", "helpers"), (3, "auth", "users"), (4, "helpers::HashPassword", "helpers::inner"), (4, "users::User::Save", "users::User::Login"), (4, "auth::DoLogin", "helpers::HashPassword"),
+        ],
+        "category, src, dst",
+    ),
+)
+def go_graph(spark: SparkSession, root: str) -> DataFrame:
+    """The edges of a small Go module, one of whose packages has two files."""
+    nodes, edges, _ = go.graph(spark.createDataFrame([*GO, GO[1]], "repo_id bigint, path string, source string"))
+    a, b = nodes.select(F.col("id").alias("src"), F.col("qname").alias("a")), nodes.select(F.col("id").alias("dst"), F.col("qname").alias("b"))
+    return edges.join(a, "src").join(b, "dst").select("category", F.col("a").alias("src"), F.col("b").alias("dst"))

@@ -8,14 +8,14 @@ import __spark_entry__ as entry
 from graphloom import session
 from graphloom.functions import names as nm
 from graphloom.operators import entities, imports, passes, signals
-from graphloom.parsers import python
+from graphloom.parsers import go, python
 from graphloom.plans import scanners
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent / "tools"))
 FIXTURES = "diff_frames resolve_signals resolve_file resolve_imports resolve_sites test_edges provenance grpc_stack queue_stack websocket_stack".split()
 
 
-@pytest.mark.parametrize("name", [*FIXTURES, *scanners.QUERIES, "python_graph", "python_nodes"])
+@pytest.mark.parametrize("name", [*FIXTURES, *scanners.QUERIES, "python_graph", "python_nodes", "go_graph"])
 def test_fixture_queries_match_their_sql(spark, name):
     from compare import connect, rows_of
 
@@ -107,3 +107,16 @@ def test_python_graph_of_empty_and_repeated_tables(spark):
     rows = [(1, "a.py", "def f(): return g()\ndef g(): pass\n")] * 3 + [(None, "b.py", "x()")]
     nodes, edges, open_ = python.graph(spark.createDataFrame(rows, schema).selectExpr("*", "'n' as name", "1 as kind"))
     assert nodes.count() == 4 and edges.count() == 1 and [r.name for r in open_.collect()] in ([], ["x"])
+
+
+def test_go_items():
+    src = "package p\n/* func no() {} */\nfunc (t *T[K]) Run(f func() (int, error)) (a struct{ b int }, err error) {\n\tt.go_()\n\tx.y.z()\n\tif (f()) { return }\n}\nfunc Ext(a int) int\nfunc New[K any](k K) *T[K] { return nil }\n"
+    got = go.items(1, "p.go", src)
+    nodes = {r["qname"]: (r["kind"], r["start_line"], r["end_line"]) for r in got if r["item"] == "node"}
+    assert nodes == {"p": (1, 0, 9), "p::T::Run": (4, 2, 6), "p::Ext": (3, 7, 7), "p::New": (3, 8, 8)}
+    assert {(r["shape"], r["base"], r["name"]) for r in got if r["item"] == "site"} == {("SelfMethod", None, "go_"), ("ComplexReceiver", None, "z"), ("Bare", None, "f")}
+    assert go.items(1, "x.go", "") == [] and go.items(1, "a/x.go", "package q\nfunc f() {")[0]["qname"] == "a"
+
+
+def test_go_graph_of_an_empty_table(spark):
+    assert [df.collect() for df in go.graph(spark.createDataFrame([], "repo_id bigint, path string, source string"))] == [[], [], []]
