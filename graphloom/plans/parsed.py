@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.parsers import go, python
+from graphloom.parsers import go, python, typescript
 from graphloom.plans.registry import Registry
 from graphloom.plans.scanners import expected
 from graphloom.sources import table
@@ -90,3 +90,28 @@ def go_graph(spark: SparkSession, root: str) -> DataFrame:
     nodes, edges, _ = go.graph(spark.createDataFrame([*GO, GO[1]], "repo_id bigint, path string, source string"))
     a, b = nodes.select(F.col("id").alias("src"), F.col("qname").alias("a")), nodes.select(F.col("id").alias("dst"), F.col("qname").alias("b"))
     return edges.join(a, "src").join(b, "dst").select("category", F.col("a").alias("src"), F.col("b").alias("dst"))
+
+
+TYPESCRIPT = [
+    (1, "src/helpers.ts", "export function hashPassword(p: string): string {\n  // inner2(p)\n  return inner(p);\n}\n\nfunction inner(p: string): string {\n  return p;\n}\n"),
+    (1, "src/user.ts", "import { hashPassword as hash } from './helpers';\n\nexport class Base {\n  check(): void {}\n}\n\nexport class User extends Base {\n  login(p: string): string {\n    return hash(p);\n  }\n\n  async save(): Promise<void> {\n    if (this.ok) {\n      await this.login('x(');\n    }\n    super.check();\n  }\n}\n"),
+    (1, "src/auth.ts", "import * as helpers from './helpers';\nimport { User } from './user';\nimport fs from 'fs';\n\nexport const doLogin = (n: string) => {\n  const u = new User();\n  u.login(n);\n  return helpers.hashPassword(n);\n};\n"),
+    (1, "src/none.ts", None), (1, "src/empty.js", ""),
+]
+
+
+@QUERIES.add(
+    "typescript_graph",
+    expected(
+        [
+            (3, "src::user", "src::helpers"), (3, "src::auth", "src::helpers"), (3, "src::auth", "src::user"), (4, "src::helpers::hashPassword", "src::helpers::inner"), (4, "src::user::User::login", "src::helpers::hashPassword"),
+            (4, "src::user::User::save", "src::user::User::login"), (4, "src::auth::doLogin", "src::user::User"), (4, "src::auth::doLogin", "src::helpers::hashPassword"), (20, "src::user::User", "src::user::Base"),
+        ],
+        "category, src, dst",
+    ),
+)
+def typescript_graph(spark: SparkSession, root: str) -> DataFrame:
+    """The edges of a few TypeScript modules."""
+    nodes, edges, _ = typescript.graph(spark.createDataFrame([*TYPESCRIPT, TYPESCRIPT[0]], "repo_id bigint, path string, source string"))
+    a, b = nodes.select(F.col("id").alias("src"), F.col("qname").alias("a")), nodes.select(F.col("id").alias("dst"), F.col("qname").alias("b"))
+    return edges.join(a, "src").join(b, "dst").select("category", F.col("a").alias("src"), F.col("b").alias("dst"))

@@ -8,14 +8,14 @@ import __spark_entry__ as entry
 from graphloom import session
 from graphloom.functions import names as nm
 from graphloom.operators import entities, imports, passes, signals
-from graphloom.parsers import go, python
+from graphloom.parsers import go, python, typescript
 from graphloom.plans import scanners
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent / "tools"))
 FIXTURES = "diff_frames resolve_signals resolve_file resolve_imports resolve_sites test_edges provenance grpc_stack queue_stack websocket_stack".split()
 
 
-@pytest.mark.parametrize("name", [*FIXTURES, *scanners.QUERIES, "python_graph", "python_nodes", "go_graph"])
+@pytest.mark.parametrize("name", [*FIXTURES, *scanners.QUERIES, "python_graph", "python_nodes", "go_graph", "typescript_graph"])
 def test_fixture_queries_match_their_sql(spark, name):
     from compare import connect, rows_of
 
@@ -120,3 +120,15 @@ def test_go_items():
 
 def test_go_graph_of_an_empty_table(spark):
     assert [df.collect() for df in go.graph(spark.createDataFrame([], "repo_id bigint, path string, source string"))] == [[], [], []]
+
+
+def test_typescript_items():
+    src = "import d, { a as b, type T } from '../x/y.js';\nimport p from 'pkg';\n// import z from './z';\nclass A<T> extends m.B {\n  f(x: { k: number }): { v: string } {\n    return g(`${h()}`);\n  }\n}\nexport const k = (x) => f(x);\nconst r = /f(/.test(s);\nfunction* gen() { this.q?.(); o.p.w(); }\n"
+    got = typescript.items(1, "src/u/index.ts", src)
+    nodes = {r["qname"]: (r["kind"], r["start_line"], r["end_line"]) for r in got if r["item"] == "node"}
+    assert nodes == {"src::u": (1, 0, 11), "src::u::A": (2, 3, 7), "src::u::A::f": (4, 4, 6), "src::u::k": (3, 8, 8), "src::u::gen": (3, 10, 10)}
+    assert {(r["style"], r["module"], r.get("name"), r["alias"]) for r in got if r["item"] == "import"} == {("symbol", "src::x::y", "a", "b"), ("symbol", "src::x::y", "T", None), ("exact", "src::x::y", None, "d")}
+    ids = {r["id"]: r["qname"] for r in got if r["item"] == "node"}
+    sites = {(ids[r["id"]], r["shape"], r["base"], r["name"]) for r in got if r["item"] == "site"}
+    assert {("src::u::A", "Attribute", "m", "B"), ("src::u::A::f", "Bare", None, "g"), ("src::u::k", "Bare", None, "f"), ("src::u::gen", "ComplexReceiver", None, "w")} <= sites
+    assert typescript.items(1, "a.js", "")[0]["qname"] == "a" and len(typescript.items(1, "b.js", "f();\n" * 5000)) == 5001
