@@ -13,10 +13,10 @@ import posixpath
 import re
 import sys
 from bisect import bisect_right
-from collections import Counter
 from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import reduce
+from hashlib import blake2b
 from itertools import accumulate, compress
 
 import numpy as np
@@ -33,10 +33,14 @@ RESULT = (
     " documentation string, code string, body boolean"
 )
 #: Rows of the symbol table: functions, and types (without a name) with the types they extend or implement. ``scope`` is the
-#: owner, in Rust with the trait of the impl block; ``nth`` counts a module's functions of one scope, name and signature.
-SYMBOLS = RESULT + ", repo string, path string, module string, scope string, ambient boolean, documented boolean, trivial boolean, nth int, bases array<string>"
-#: What it takes to tell which function is documented by what, without code and text.
-KEYS = "file_id bigint, ext string, name string, params string, start_line int, repo string, module string, scope string, documented boolean, trivial boolean, nth int"
+#: owner, in Rust with the trait of the impl block.
+SYMBOLS = RESULT + ", repo string, path string, module string, scope string, ambient boolean, trivial boolean, bases array<string>"
+#: The same without code and text, which it takes to tell which function is documented by what: ``documentation`` is 128 bits
+#: that stand for what a declaration without a body says.
+KEYS = (
+    "file_id bigint, ext string, name string, params string, start_line int, documentation string, body boolean,"
+    " repo string, module string, scope string, ambient boolean, trivial boolean, bases array<string>"
+)
 #: Documentation with fewer words is trivial.
 LEAST_WORDS = 4
 
@@ -670,15 +674,18 @@ _NEEDED = {"py": "def", "go": "func", "rs": "fn", "java": "(", "js": "(", "ts":
 _QUALIFIER = re.compile(r"\b(?:\w+\.|\w+::)+")
 
 
-def _read(path: str | None, source: str | None, types: list | None = None) -> tuple[str, list[Function]]:
+def _read(path: str | None, source: str | None, types: list) -> tuple[str, list[Function]]:
     """Extension and functions of a file; none if it isn't valid. ``types`` takes its types."""
     ext = extension(path)
     lang = language(ext)
     if not source or lang is None:
         return ext, []
     lexed = lang.lexed("\n" + source.removeprefix("\ufeff") if ext == "py" else source)
-    if types is None and ext in _NEEDED and lang.kinds.of[_NEEDED[ext]] not in lexed[3]:
-        return ext, []  # nothing that a function begins with
+    if ext in _NEEDED:
+        of = lang.kinds.of
+        begins = [_NEEDED[ext], *(_TYPE_WORDS if ext not in ("py", "go") else ())]
+        if not any(of[w] in lexed[3] for w in begins if w in of):
+            return ext, []  # nothing that a function or a type begins with
     return ext, functions_of(ext, source, lexed, types) if valid_lexed(ext, source, lexed[3]) else []
 
 
@@ -720,29 +727,43 @@ def signature(f: Function) -> str:
     return f"{len(f.params)}:" + (_QUALIFIER.sub("", types) if "." in types or "::" in types else types)
 
 
-def _keyed(source: str, found: list[Function]) -> list[tuple[Function, str, int, int, bool | None]]:
-    """Each function with its signature, its place among those that only the place tells apart, its line, and whether its
-    documentation is trivial."""
-    seen: Counter[tuple[str, str, str]] = Counter()
+def _keyed(source: str, found: list[Function]) -> list[tuple[Function, str, int, bool | None]]:
+    """Each function with its signature, its line, and whether its documentation is trivial."""
     out, line, at = [], 0, 0
     for f in sorted(found, key=lambda f: f.at):
         line, at = line + source.count("\n", at, f.at), f.at
-        key = (f.scope or f.owner, f.name, signature(f))
-        out.append((f, key[2], seen[key], line, None if f.doc is None else is_trivial(f.doc, f.name, set(f.params))))
-        seen[key] += 1
+        out.append((f, signature(f), line, None if f.doc is None else is_trivial(f.doc, f.name, set(f.params))))
     return out
 
 
+def _text(f: Function) -> str | None:
+    """The documentation without directives."""
+    return None if f.doc is None else "\n".join(x.strip() for x in f.doc if not _DIRECTIVE.match(x)).strip()
+
+
+def _ambient(path: str | None) -> bool:
+    return (path or "").lower().endswith(".d.ts")
+
+
+def _bases_by_scope(ext: str, path: str | None, source: str, types: list) -> list[tuple[str, list[str]]]:
+    """The types of a source with where their bases come from: as ``imported`` says, or ``?`` and a name."""
+    known = imported(ext, path or "", source) if any(bases for _, bases in types) else {}
+    return [(scope, [known.get(b, "?" + b) for b in bases]) for scope, bases in types]
+
+
 def _key_rows():
     sys.setrecursionlimit(20_000)
 
     def rows(file_id, path, source, repo=None):
-        ext, found = _read(path, source)
-        module = _module(path or "")
-        return [
-            (file_id, ext, f.name, params, line, repo, module, f.scope or f.owner, f.doc is not None, trivial, nth)
-            for f, params, nth, line, trivial in _keyed(source, found)
-        ]
+        types = []
+        ext, found = _read(path, source, types)
+        module, out = _module(path or ""), []
+        for f, params, line, trivial in _keyed(source, found):
+            says = None if f.body or f.doc is None else blake2b(_text(f).encode(), digest_size=16).hexdigest()
+            out.append((file_id, ext, f.name, params, line, says, f.body, repo, module, f.scope or f.owner, _ambient(path) or f.ambient, trivial, None))
+        for scope, bases in _bases_by_scope(ext, path, source, types):
+            out.append((file_id, ext, *[None] * 5, repo, module, scope, None, None, bases))
+        return out
 
     return rows
 
@@ -754,19 +775,15 @@ def _extractor():
         types = []
         ext, found = _read(path, source, types)
         module, out = _module(path or ""), []
-        ambient = (path or "").lower().endswith(".d.ts")
-        for f, params, nth, line, trivial in _keyed(source, found):
-            text = None if f.doc is None else "\n".join(x.strip() for x in f.doc if not _DIRECTIVE.match(x)).strip()
+        for f, params, line, trivial in _keyed(source, found):
             last = line + source.count("\n", f.at, max(f.at, f.end - 1))
             code = source[f.start : f.end].rstrip()
             scope = f.scope or f.owner
             out.append(
-                (file_id, ext, f.owner, f.name, params, line, last, text, code, f.body, repo, path, module, scope, ambient or f.ambient, text is not None, trivial, nth, None)
+                (file_id, ext, f.owner, f.name, params, line, last, _text(f), code, f.body, repo, path, module, scope, _ambient(path) or f.ambient, trivial, None)
             )
-        known = imported(ext, path or "", source) if any(bases for _, bases in types) else {}
-        for scope, bases in types:
-            bases = [known.get(b, "?" + b) for b in bases]
-            out.append((file_id, ext, *[None] * 8, repo, path, module, scope, *[None] * 4, bases))
+        for scope, bases in _bases_by_scope(ext, path, source, types):
+            out.append((file_id, ext, *[None] * 8, repo, path, module, scope, None, None, bases))
         return out
 
     return rows
@@ -781,6 +798,11 @@ def symbols(files: DataFrame) -> DataFrame:
     return map_rows(spread(files.select(*_columns(files))), _extractor, SYMBOLS)
 
 
+def keys(files: DataFrame) -> DataFrame:
+    """The same symbol table with the columns of ``KEYS``."""
+    return map_rows(spread(files.select(*_columns(files))), _key_rows, KEYS)
+
+
 def functions(files: DataFrame) -> DataFrame:
     """One row per function or method of the valid files among ``files`` (file_id, path, source).
 
@@ -791,45 +813,49 @@ def functions(files: DataFrame) -> DataFrame:
     return found.select(*[x.split()[0] for x in RESULT.split(", ")])
 
 
-def _place(*extra: str) -> list[Column]:
-    """128 bits that stand for a qualified name, signature and ``extra`` columns, so that joins don't move the texts."""
-    by = ["repo", "ext", "module", "scope", "name", "params", *extra]
+def _place() -> list[Column]:
+    """128 bits that stand for a qualified name and signature, so that joins don't move the texts."""
+    by = ["repo", "ext", "module", "scope", "name", "params"]
     return [F.xxhash64(*by).alias("k1"), F.xxhash64(F.lit(1), *by).alias("k2")]
 
 
 def described(found: DataFrame) -> DataFrame:
-    """File and line of every function that a documented declaration at its own place describes.
+    """File and line of every documented function, and ``at_file`` and ``at_line`` of the function that carries its documentation.
 
-    ``found`` has the columns of ``KEYS``. Declarations with documentation are joined with the definitions of the same
-    repository, module, scope, name and normalised signature; among overloads that even the signature doesn't tell apart
-    the first declaration belongs to the first definition, and so on. Trivial documentation is dropped after the join. A
-    function with its documentation right above or inside is both sides at once. Resent rows count once.
+    ``found`` has the columns of ``KEYS``. A function with documentation of its own that isn't trivial carries it itself; any
+    other definition takes what ``lent`` finds. Resent rows count once.
     """
-    keyed = found.select(*_place("nth"), "file_id", "start_line", "documented", "trivial")
-    definitions = keyed.select("k1", "k2", "file_id", "start_line")
-    declarations = keyed.where("documented").select("k1", "k2", F.col("file_id").alias("at_file"), F.col("start_line").alias("at_line"), "trivial")
-    met = definitions.join(declarations, ["k1", "k2"])
-    # two files may share a path: only what stands at the definition's own place is directly above it
-    return met.where("file_id = at_file and start_line = at_line and not trivial").select("file_id", "start_line").distinct()
+    plain = found.where("name is not null")
+    own = plain.where("not trivial").select("file_id", "start_line", F.col("file_id").alias("at_file"), F.col("start_line").alias("at_line"))
+    met = plain.where("body and coalesce(trivial, true)").select("file_id", "start_line", *_place())
+    met = met.join(lent(found).select(*_place(), F.col("at.file_id").alias("at_file"), F.col("at.start_line").alias("at_line")), ["k1", "k2"])
+    return own.unionByName(met.select(*own.columns)).distinct()
 
 
 def documented(files: DataFrame) -> DataFrame:
-    """File and line of every function that carries documentation of its own which isn't trivial.
+    """File and line of every function whose documentation stands directly above it or inside and isn't trivial.
 
-    The rows come from the symbol table and its join; code and texts stay in the worker. Null, empty and invalid sources
-    and unknown extensions give no rows; of ``files`` only file_id, path, source and repo are read.
+    The rows come from the symbol table and its join; code and texts stay in the worker. A definition that a declaration
+    elsewhere describes is left out after the join. Null, empty and invalid sources and unknown extensions give no rows; of
+    ``files`` only file_id, path, source and repo are read.
     """
-    found = map_rows(spread(files.select(*_columns(files))), _key_rows, KEYS)
-    return described(materialise(found, "keys"))  # both sides of the join read it; the pass over the sources is made once
+    found = described(materialise(keys(files), "keys"))  # read several times; the pass over the sources is made once
+    return found.where("at_file = file_id and at_line = start_line").select("file_id", "start_line")
 
 
 _HOME = ["repo", "ext"]
 
 
-def _folder(module: str) -> Column:
+def _folder(module: str | Column) -> Column:
     return F.regexp_replace(module, r"/?[^/]*$", "")
 
 
+def _endings(path: Column) -> Column:
+    """A path, and what is left of it without its first folder, its first two and so on."""
+    parts = F.split(path, "/")
+    return F.transform(parts, lambda _, i: F.array_join(F.slice(parts, i + 1, F.size(parts)), "/"))
+
+
 def bases_of(types: DataFrame) -> DataFrame:
     """What each type (repo, ext, module, scope, bases) extends or implements: (repo, ext, module, scope, up_module, up_scope, far).
 
@@ -837,29 +863,34 @@ def bases_of(types: DataFrame) -> DataFrame:
     only one, elsewhere in the repository; several that are equally near are none. ``far`` counts the steps up, as far as
     there are any; cycles end by themselves.
     """
-    own = "replace(scope, '::', '/')"
+    own = F.expr("replace(scope, '::', '/')")
     inner = F.regexp_replace("module", "/(mod|lib|index)$", "")
+    up = F.struct(F.col("module").alias("up_module"), F.col("scope").alias("up_scope"))
     known = types.where("not contains(scope, '<')").select(
-        *_HOME, F.col("module").alias("up_module"), F.col("scope").alias("up_scope"), F.element_at(F.split("scope", "::"), -1).alias("simple"),
-        F.concat(F.lit("/"), _folder("module"), F.lit("/"), F.expr(own)).alias("in_folder"),
-        F.concat(F.lit("/"), inner, F.lit("/"), F.expr(own)).alias("in_module"),
+        *_HOME, up.alias("up"), F.element_at(F.split("scope", "::"), -1).alias("simple"),
+        F.array_distinct(F.concat(_endings(F.concat(_folder("module"), F.lit("/"), own)), _endings(F.concat(inner, F.lit("/"), own)))).alias("named"),
     ).distinct()
     wanted = types.select(*_HOME, "module", "scope", F.explode("bases").alias("base")).distinct()
-    wanted = wanted.withColumn("simple", F.regexp_extract("base", r"([^/?=~]*)$", 1))
-    end = F.concat(F.lit("/"), F.substring("base", F.lit(2), F.length("base")))
-    named = ~F.col("base").startswith("?") & (F.col("in_folder").endswith(end) | F.col("in_module").endswith(end))
-    near = (
-        F.when(named, 0)
-        .when(F.col("base").startswith("="), None)
-        .when(F.col("up_module") == F.col("module"), 1)
-        .when(_folder("up_module") == _folder("module"), 2)
-        .otherwise(3)
-    )
-    met = wanted.join(known, [*_HOME, "simple"]).where("up_module <> module or up_scope <> scope").withColumn("near", near).where("near is not null")
-    up = F.struct("up_module", "up_scope")
-    first = met.groupBy(*_HOME, "module", "scope", "base", "near").agg(F.min(up).alias("up"), F.max(up).alias("__other"))
-    best = first.groupBy(*_HOME, "module", "scope", "base").agg(F.min_by("up", "near").alias("up"), F.min_by("__other", "near").alias("__other"))
-    direct = best.where("up = __other").select(*_HOME, "module", "scope", "up.*").distinct()
+    simple, named = F.regexp_extract("base", r"([^/?=~]*)$", 1), F.expr("substring(base, 2)")
+
+    def levels_of(module: Column, simple: Column) -> list[Column]:
+        """Where a type is looked for, the nearest first, after the place that an import names."""
+        at = [F.concat_ws("/", simple, module), F.concat_ws("/", simple, _folder(module)), simple]
+        return [F.struct(F.lit(n).alias("near"), x.alias("key")) for n, x in enumerate(at, 1)]
+
+    by_name = F.transform("named", lambda x: F.struct(F.lit(0).alias("near"), x.alias("key")))
+    there = known.select(*_HOME, "up", F.inline(F.concat(by_name, F.array(*levels_of(F.col("up.up_module"), F.col("simple"))))))
+    # a type that extends its namesake isn't its own base, so what else there is is told by two types and their number
+    there = there.groupBy(*_HOME, "near", "key").agg(F.min("up").alias("up"), F.max("up").alias("__other"), F.count("*").alias("__of"))
+    by_import = F.array(F.struct(F.lit(0).alias("near"), named.alias("key")))
+    other = F.array(*levels_of(F.col("module"), simple))
+    sought = F.when(F.col("base").startswith("="), by_import).when(F.col("base").startswith("?"), other).otherwise(F.concat(by_import, other))
+    met = wanted.select("*", F.inline(sought)).join(there, [*_HOME, "near", "key"]).withColumn("__self", up)
+    met = met.where("__of > 1 or up <> __self")
+    one = F.expr("CASE WHEN __of = 1 THEN up WHEN __of = 2 AND up = __self THEN __other WHEN __of = 2 AND __other = __self THEN up END")
+    met = met.select(*_HOME, "module", "scope", "base", "near", one.alias("up"))
+    best = met.groupBy(*_HOME, "module", "scope", "base").agg(F.min_by("up", "near").alias("up"))
+    direct = best.where("up is not null").select(*_HOME, "module", "scope", "up.*").distinct()
     direct = materialise(direct, "bases")
     # a class stands for its impl blocks only in Rust, where blocks have no bases above their trait
     step = direct.select(*_HOME, F.col("module").alias("m"), F.col("scope").alias("s"), F.col("up_module").alias("um"), F.col("up_scope").alias("us"))
@@ -874,48 +905,59 @@ def bases_of(types: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, levels)
 
 
-def pairs(files: DataFrame) -> DataFrame:
-    """Code and description of every documented function.
+def lent(found: DataFrame) -> DataFrame:
+    """What definitions whose documentation is missing or trivial take from declarations (functions without a body).
 
-    A definition whose documentation is missing or trivial takes that of a declaration (a function without a body) of the
-    same repository, name and normalised signature: of its own module and owner first, then of the nearest types that its
-    owner extends or implements, then an ambient one (TypeScript's ``declare`` and ``.d.ts``) of the same owner in the same
-    folder or a module of the same name, if no other definition or declaration answers to it. Several that are equally near
-    must say the same. A declaration itself is no pair, and trivial documentation is dropped after the join.
+    ``found`` has the columns of ``KEYS``. A definition takes the documentation of a declaration of the same repository, name
+    and normalised signature: of its own module and owner first, then of the nearest types that its owner extends or
+    implements, then an ambient one (TypeScript's ``declare`` and ``.d.ts``) of the same owner in the same folder or a module
+    of the same name, if no other definition or declaration answers to it. Several that are equally near must say the same.
+    Trivial documentation is dropped after the join. Result: repo, ext, name, params, module and scope of the definition,
+    the documentation ``declared``, and ``at``, the file_id and start_line of the first declaration that says it.
     """
-    found = materialise(symbols(files), "symbols")  # read several times below; the pass over the sources is made once
     key = [*_HOME, "name", "params"]
     place = [*key, "module", "scope"]
     plain = found.where("name is not null")
-    declared = plain.where("not body").select(*place, "documentation", "trivial", "ambient")
+    declared = plain.where("not body").select(*place, "documentation", "trivial", "ambient", F.struct("file_id", "start_line").alias("at"))
     defined = plain.where("body").select(*place).distinct()
     # what still needs a declaration
     open_ = plain.where("body and coalesce(trivial, true)").select(*place).distinct()
-    said = declared.where("documentation is not null").select(*place, "documentation", "trivial")
+    said = declared.where("documentation is not null").select(*place, "documentation", "trivial", "at")
     near = open_.join(said, place).withColumn("far", F.lit(0))
     above = bases_of(found.where("name is null").select(*_HOME, "module", "scope", "bases"))
     up = said.withColumnsRenamed({"module": "up_module", "scope": "up_scope"})
     inherited = open_.join(above, [*_HOME, "module", "scope"]).join(up, [*key, "up_module", "up_scope"]).drop("up_module", "up_scope")
     free = declared.where("ambient").join(defined, place, "left_anti")
 
-    def alone(df: DataFrame, by: str, what: list[str]) -> DataFrame:
-        return df.withColumn("at", _folder("module") if by == "folder" else F.regexp_extract("module", r"([^/]*)$", 1)).groupBy(*key, "scope", "at").agg(*what)
+    def alone(df: DataFrame, by: str, what: list[Column]) -> DataFrame:
+        return df.withColumn("by", _folder("module") if by == "folder" else F.regexp_extract("module", r"([^/]*)$", 1)).groupBy(*key, "scope", "by").agg(*what)
 
     ambient = []
     for far, by in ((1 << 20, "folder"), (1 << 21, "stem")):
-        one = alone(free, by, [F.min("documentation").alias("documentation"), F.min("trivial").alias("trivial"), F.min("module").alias("a"), F.max("module").alias("z"), F.max("documentation").alias("__other")])
+        said_by = [F.min(c).alias(c) for c in ("documentation", "trivial", "at")]
+        one = alone(free, by, [*said_by, F.min("module").alias("a"), F.max("module").alias("z"), F.max("documentation").alias("__other")])
         one = one.where("a = z and documentation = __other").drop("a", "z", "__other")
         to = alone(defined, by, [F.min("module").alias("module"), F.max("module").alias("z")]).where("module = z").drop("z")
-        ambient.append(to.join(one, [*key, "scope", "at"]).drop("at").withColumn("far", F.lit(far)))
+        ambient.append(to.join(one, [*key, "scope", "by"]).drop("by").withColumn("far", F.lit(far)))
     met = reduce(DataFrame.unionByName, [near, inherited, *ambient])
-    level = met.groupBy(*place, "far").agg(F.min("documentation").alias("declared"), F.max("documentation").alias("__other"), F.min("trivial").alias("slight"))
-    best = level.groupBy(*place).agg(*[F.min_by(c, "far").alias(c) for c in ("declared", "__other", "slight")])
-    best = best.where("declared = __other and not slight").drop("__other", "slight")
+    level = met.groupBy(*place, "far").agg(F.min("documentation").alias("declared"), F.max("documentation").alias("__other"), F.min("trivial").alias("slight"), F.min("at").alias("at"))
+    best = level.groupBy(*place).agg(*[F.min_by(c, "far").alias(c) for c in ("declared", "__other", "slight", "at")])
+    return best.where("declared = __other and not slight").drop("__other", "slight")
+
+
+def pairs(files: DataFrame) -> DataFrame:
+    """Code and description of every documented function.
+
+    A definition whose documentation is missing or trivial takes that of a declaration, as ``lent`` says. A declaration
+    itself is no pair.
+    """
+    found = materialise(symbols(files), "symbols")  # read several times below; the pass over the sources is made once
+    plain, best = found.where("name is not null"), lent(found)
     qname = F.concat_ws(
         "::", F.regexp_replace(F.regexp_replace("path", r"\.\w+$", ""), "/", "::"), F.when(F.col("owner") != "", F.col("owner")), F.col("name")
     )
     made = plain.where("body").select("file_id", qname.alias("qname"), "start_line", "end_line", "params", "documentation", "trivial", "code", *_place())
     # code moves once, to where its resent copies are; only functions without words of their own meet the declarations
     own = made.where("not trivial").select("file_id", "qname", "start_line", "end_line", "params", F.col("documentation").alias("description"), "code")
-    lent = made.where("coalesce(trivial, true)").drop("documentation", "trivial").join(best.select(*_place(), F.col("declared").alias("description")), ["k1", "k2"])
-    return own.unionByName(lent.select(*own.columns)).dropDuplicates(["file_id", "qname", "start_line", "params"])
+    taken = made.where("coalesce(trivial, true)").drop("documentation", "trivial").join(best.select(*_place(), F.col("declared").alias("description")), ["k1", "k2"])
+    return own.unionByName(taken.select(*own.columns)).dropDuplicates(["file_id", "qname", "start_line", "params"])

@@ -1,6 +1,6 @@
 import pytest
 
-from graphloom.llm.functions import documented, functions, functions_of, is_trivial, pairs
+from graphloom.llm.functions import described, documented, functions, functions_of, is_trivial, keys, pairs, symbols
 
 DOC = "Turns the raw entries into rows of the next layer."
 CASES = {
@@ -156,3 +156,28 @@ def test_declarations_meet_definitions_by_qualified_name(spark):
     files = spark.createDataFrame([(i, "r", p, s) for i, p, s in rows], "file_id bigint, repo string, path string, source string")
     got = {(r.file_id, r.start_line): r.description for r in pairs(files).collect()}
     assert got == {(3, 4): one, (4, 3): two, (10, 13): one, (10, 16): two, (12, 2): one}
+
+
+def test_described_functions_come_from_the_joined_symbol_table(spark):
+    one, two = "Looks the key up in memory first.", "Asks the remote service for the key."
+    rows = [
+        (1, "a.ts", f"interface A {{\n  /** {one} */\n  load(x: number): void;\n}}\ninterface B extends A {{\n}}\n"),
+        (2, "b.ts", f"interface Z {{\n  /** {two} */\n  load(x: number): void;\n}}\n"),
+        (3, "c.ts", "class C implements B {\n  load(x: number): void { x; }\n}\nclass D {\n  load(x: number): void { x; }\n}\n"),
+        (4, "e.ts", "class E implements A, Z {\n  load(x: number): void { x; }\n}\n"),
+        (5, "f.ts", f"/** {one} */\nfunction over(x: number): void;\nfunction over(x: string): void;\nfunction over(x: number): void {{ x; }}\n"),
+        (6, "g.ts", f"class G implements A {{\n  /** {two} */\n  load(x: number): void {{ x; }}\n}}\nclass H implements A {{\n  /** TODO */\n  load(x: number): void {{ x; }}\n}}\n"),
+        (7, "q/a.ts", f"interface Q {{\n  /** {one} */\n  load(x: number): void;\n}}\n"),
+        (8, "r/a.ts", f"interface Q {{\n  /** {two} */\n  load(x: number): void;\n}}\n"),
+        (9, "s/a.ts", "class S implements Q {\n  load(x: number): void { x; }\n}\n"),
+        (10, "q/b.ts", "class Q implements Q {\n  load(x: number): void { x; }\n}\n"),
+    ]
+    files = spark.createDataFrame([(i, "r", p, s) for i, p, s in [*rows, rows[2]]], "file_id bigint, repo string, path string, source string")
+    # what stands above a function, and what a type above its owner or a declaration of its own owner lends it: not to D,
+    # which is of no such type, to E, whose types disagree, and to S, as there are two of that name
+    own = [(1, 2), (2, 2), (5, 1), (6, 2), (7, 2), (8, 2)]
+    lent = [(3, 1, 1, 2), (5, 3, 5, 1), (6, 6, 1, 2), (10, 1, 7, 2)]
+    for found in (keys(files), symbols(files)):
+        got = sorted((r.file_id, r.start_line, r.at_file, r.at_line) for r in described(found).collect())
+        assert got == sorted([(*x, *x) for x in own] + lent)
+    assert sorted(documented(files).collect()) == own
